@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their oracles."""
 
-from arrears.llm import q01
+from arrears.llm import q01, q02
 
-QUERIES = {"op1_langid": q01.op1_langid}
+QUERIES = {"op1_langid": q01.op1_langid, "op2_simhash": q02.op2_simhash}
 ORACLES: dict[str, str] = {}
