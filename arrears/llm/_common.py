@@ -104,3 +104,37 @@ def connected_components(edges: DataFrame, scratch: Scratch, *, max_rounds: int
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def running_starts(df: DataFrame, size_col: str, order: list[str], scratch: Scratch, *, out: str = "at") -> tuple[DataFrame, int]:
+    """df with the sum of size_col over all rows that come before in `order`, and the total.
+
+    Rows are range-sorted, so equal keys need a last column that tells them apart if none may pile up in one task. Only one
+    number a partition reaches the driver.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+    from pyspark.sql import types as T
+
+    parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+    def local(batches):
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            sizes = batch.column(size_col).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = at + np.cumsum(sizes)
+            cols = [*batch.columns, pa.array(ends - sizes), pa.array(np.full(len(sizes), part, np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names, "_at", "_part"])
+            at = int(ends[-1]) if len(ends) else at
+
+    schema = T.StructType([*df.schema.fields, T.StructField("_at", T.LongType()), T.StructField("_part", T.IntegerType())])
+    rows = scratch.save(ranged.mapInArrow(local, schema), "starts")
+    sums = sorted((r._part, r.n) for r in rows.groupBy("_part").agg(F.sum(size_col).alias("n")).collect())
+    base, total = [], 0
+    for part, n in sums:
+        base.append((part, total))
+        total += n
+    bases = scratch.spark.createDataFrame(base, "_part int, _base long")  # a row a partition
+    return rows.join(F.broadcast(bases), "_part").select(*df.columns, (F.col("_at") + F.col("_base")).alias(out)), total
