@@ -1,5 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their oracles."""
 
+import corpus_pipeline
 from arrears.llm import q01, q02, q03, q04, q05, q06, q07, q08, q09, q10
 
 QUERIES = {
@@ -13,5 +14,12 @@ QUERIES = {
     "op8_pii": q08.op8_pii,
     "op9_trainorder": q09.op9_trainorder,
     "op10_decontam": q10.op10_decontam,
+    "pipeline": corpus_pipeline.run,
+}
+ORACLES: dict[str, str] = {
+    "op3_warc": q03.SQL,
+    "op4_licenses": q04.SQL,
+    "op5_vectors": q05.SQL,
+    "op6_linededup": q06.SQL,
+    "op10_decontam": q10.SQL,
 }
-ORACLES: dict[str, str] = {"op3_warc": q03.SQL, "op4_licenses": q04.SQL, "op5_vectors": q05.SQL, "op6_linededup": q06.SQL, "op10_decontam": q10.SQL}
