@@ -1,4 +1,6 @@
 """Every driver query by name, with the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from arrears.plans import text_queries
+
+QUERIES: dict = dict(text_queries.QUERIES)
+ORACLES: dict = dict(text_queries.ORACLES)
