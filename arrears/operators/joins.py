@@ -86,7 +86,7 @@ def greedy_match(found: DataFrame, truth: DataFrame, key: str, at: str, ordinal:
                     used.add(m)
                     out.append((n, m))
                     break
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(out), "found": [x for x, _ in out], "truth": [y for _, y in out]})
+        return pd.DataFrame({key: pd.Series([pdf[key].iloc[0]] * len(out), dtype=object), "found": [x for x, _ in out], "truth": [y for _, y in out]})
 
     kind = dict(found.dtypes)[key]
     return both.groupBy(key, "stretch").applyInPandas(match, f"{key} {kind}, found long, truth long")

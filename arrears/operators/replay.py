@@ -12,7 +12,8 @@ from arrears.functions.text import similarity
 def mean_gap(commit_files: DataFrame) -> DataFrame:
     """Per file the commits, and the mean of positive gaps in days between consecutive ones."""
     own = W.partitionBy("file").orderBy("ts", "hash")
-    gap = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(own))) / 86_400_000_000
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = (micros - F.lag(micros).over(own)) / 86_400_000_000
     rows = commit_files.withColumn("gap", gap)
     return rows.groupBy("file").agg(F.count(F.lit(1)).alias("churn"), F.avg(F.when(F.col("gap") > 0, F.col("gap"))).alias("gap_days"))
 

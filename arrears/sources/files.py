@@ -82,8 +82,8 @@ def commit_files(df: DataFrame) -> DataFrame:
 
 def commits_after(df: DataFrame, snapshot: Column, months: float) -> DataFrame:
     """Commits in (snapshot, snapshot + months of 30.44 days]."""
-    end = F.unix_micros(snapshot) + int(months * 30.44 * 86_400_000_000)
-    return df.where((F.col("ts") > snapshot) & (F.unix_micros("ts") <= end))
+    end = F.unix_micros(snapshot.cast("timestamp")) + int(months * 30.44 * 86_400_000_000)
+    return df.where((F.col("ts") > snapshot) & (F.unix_micros(F.col("ts").cast("timestamp")) <= end))
 
 
 def csv(spark: SparkSession, path: str) -> DataFrame:
