@@ -116,7 +116,7 @@ def disagreements(spark, d):
 
 def greedy_match(spark, d):
     part = table(spark, d, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("file"), F.col("p_size").alias("line"), "p_partkey", "p_retailprice")
-    found, truth = part.where("p_retailprice < 1300"), part.where("p_retailprice >= 1300")
+    found, truth = part.where("p_retailprice < 940"), part.where("p_retailprice >= 940")
     return joins.greedy_match(found, truth, "file", "line", "p_partkey", 2)
 
 
@@ -196,7 +196,7 @@ ORACLES = {
     "lead_time": """WITH m AS (SELECT l_partkey AS id, l_linenumber AS rank, (year(o_orderdate) * 12 + month(o_orderdate))::INT AS i FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
       s AS (SELECT id, min(i) AS seen FROM m WHERE rank <= 2 GROUP BY id), e AS (SELECT l_partkey AS id, min(year(l_shipdate) * 12 + month(l_shipdate))::INT AS done FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey)
       SELECT id, seen, done, done - seen >= 5 AS early FROM s JOIN e USING (id)""",
-    "addressed_events": """WITH c AS (SELECT conv_id || '/' || role AS file, conv_id AS hash, turn, unnest(string_split(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), '. ')) AS text FROM conversations),
+    "addressed_events": r"""WITH c AS (SELECT conv_id || '/' || role AS file, conv_id AS hash, turn, unnest(string_split(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), '. ')) AS text FROM conversations),
       f AS (SELECT file, min(turn) AS t0, max(turn) AS t1 FROM c GROUP BY file HAVING max(turn) > min(turn)),
       b AS (SELECT DISTINCT hash, file, text FROM c JOIN f USING (file) WHERE turn = t0), a AS (SELECT DISTINCT hash, file, text FROM c JOIN f USING (file) WHERE turn = t1),
       s AS (SELECT b.hash, md5(b.file || '|' || b.text) AS id, max(CASE WHEN substr(a.text, 1, 500) = substr(b.text, 1, 500) THEN 1.0 WHEN a.text = '' OR b.text = '' THEN 0.0
