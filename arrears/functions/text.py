@@ -155,7 +155,7 @@ def parse_plan(text: Column) -> Column:
         items = F.filter(F.transform(F.split(raw, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*(\d+\.\s*|-\s*)", ""))), lambda x: x != "")
         return F.when(F.size(items) > 0, items).otherwise(F.array(*[F.lit(d) for d in default]))
 
-    why = F.trim(F.regexp_extract(text, r"(?is)WHY_NOW:\s*(.+?)(?=STEPS:|\z)", 1))
+    why = F.regexp_extract(text, r"(?is)WHY_NOW:\s*(.+?)\s*(?=STEPS:|\z)", 1)
     return F.struct(
         F.coalesce(F.nullif(why, F.lit("")), F.lit("Recent changes provide an opportunity to address this debt.")).alias("why_now"),
         section("STEPS", "BENEFITS", ["Review context", "Implement fix", "Test changes"]).alias("steps"),

@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tree(spark: SparkSession, root: str, *, extensions: list[str] = P.EXTENSIONS, skipped: list[str] = P.SKIPPED_FOLDERS) -> DataFrame:
     """File (relative), ext, text of all source files; dot entries and skipped folders are left out by name."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     base = F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/")
     inner = F.substring(base, F.length(F.lit(root.rstrip("/"))) + 2, F.length(base))
     rows = files.select(inner.alias("file"), F.col("value").alias("text")).withColumn("ext", extension(F.col("file")))
