@@ -34,6 +34,7 @@ from arrears.llm._common import Scratch, connected_components
 SEED = 42
 BUCKET_GOAL = 4096
 TILE_ROWS = 2048
+BLOCK_ROWS = 512  # buckets in a row are compared in one block of about as many
 
 
 def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
@@ -105,9 +106,10 @@ def planes_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bits, np.packbits(padded, axis=1, bitorder="little").view(np.uint64).reshape(64, words)
 
 
-def close_pairs(fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each fingerprint in turn, the later ones within the radius, where there are any."""
+def close_pairs(fps: np.ndarray, radius: int, ends: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """For each fingerprint in turn, the later ones within the radius, where there are any; up to its bucket's end, if buckets stand in a row."""
     m = len(fps)
+    ends = np.full(m, m) if ends is None else ends
     bits, planes = planes_of(fps)
     words = planes.shape[1]
     full = np.uint64(2**64 - 1)
@@ -117,7 +119,10 @@ def close_pairs(fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]
     lane = np.arange(words * 64)
     for lo in range(0, m, step):
         rows = np.arange(lo, min(m, lo + step))
-        barred = (lane[None, :] <= rows[:, None]) | (lane[None, :] >= m)  # itself, earlier ones, and what only fills the last word
+        rows = rows[ends[rows] > rows + 1]
+        if not len(rows):
+            continue
+        barred = (lane[None, :] <= rows[:, None]) | (lane[None, :] >= ends[rows][:, None])  # itself, earlier ones, other buckets
         over = np.packbits(barred, axis=1, bitorder="little").view(np.uint64).reshape(len(rows), words)
         counters = [np.zeros_like(over) for _ in range(digits)]
         for b in range(0, 64, 2):
@@ -150,20 +155,20 @@ def close_pairs(fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]
                     yield int(i), found
 
 
-def forest(fps: np.ndarray, radius: int) -> np.ndarray:
+def forest(fps: np.ndarray, radius: int, ends: np.ndarray | None = None) -> np.ndarray:
     """For each fingerprint, the place of the one its group hangs on."""
     label = np.arange(len(fps))
-    for i, found in close_pairs(fps, radius):
+    for i, found in close_pairs(fps, radius, ends):
         own = np.unique(np.append(label[found], label[i]))
         if len(own) > 1:
             label[np.isin(label, own)] = own[0]
     return label
 
 
-def least_forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def least_forest(fps: np.ndarray, radius: int, buckets_end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of least distances: the edges (Kruskal, by levels of distance)."""
     label, rows, ends, far = np.arange(len(fps)), [], [], []
-    for i, found in close_pairs(fps, radius):
+    for i, found in close_pairs(fps, radius, buckets_end):
         rows.append(np.full(len(found), i))
         ends.append(found)
         far.append(np.bitwise_count(fps[found] ^ fps[i]))
@@ -230,16 +235,23 @@ def edges_of(bucketed: DataFrame, radius: int, least: bool = False) -> DataFrame
     """(a, b): a spanning forest of the links of each bucket, of least distances if asked for."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(fp: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
+        def flush() -> pa.RecordBatch | None:
+            """Compares the buckets held, whole ones, in one block."""
+            fp, rep = (np.concatenate([x[i] for x in held]) for i in range(2))
+            sizes = np.array([len(x[0]) for x in held])
+            sizes = np.add.reduceat(sizes, np.array(begins))
+            ends = np.repeat(np.cumsum(sizes), sizes)
             if least:
-                one, two = least_forest(fp.view(np.uint64), radius)
-                return pa.RecordBatch.from_arrays([pa.array(rep[one]), pa.array(rep[two])], ["a", "b"])
-            label = forest(fp.view(np.uint64), radius)
-            tied = np.flatnonzero(label != np.arange(len(label)))
-            return pa.RecordBatch.from_arrays([pa.array(rep[tied]), pa.array(rep[label[tied]])], ["a", "b"])
+                one, two = least_forest(fp.view(np.uint64), radius, ends)
+            else:
+                label = forest(fp.view(np.uint64), radius, ends)
+                one = np.flatnonzero(label != np.arange(len(label)))
+                two = label[one]
+            return pa.RecordBatch.from_arrays([pa.array(rep[one]), pa.array(rep[two])], ["a", "b"]) if len(one) else None
 
         held: list[tuple[np.ndarray, ...]] = []
-        key = None
+        begins: list[int] = []
+        key, rows = None, 0
         for batch in batches:
             fp, rep, k, bits, tile = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "rep", "key", "bits", "tile"))
             cut = np.flatnonzero((k[1:] != k[:-1]) | (bits[1:] != bits[:-1]) | (tile[1:] != tile[:-1])) + 1
@@ -247,12 +259,16 @@ def edges_of(bucketed: DataFrame, radius: int, least: bool = False) -> DataFrame
                 if lo == hi:
                     continue
                 if (now := (k[lo], bits[lo], tile[lo])) != key:
-                    if held and sum(len(x[0]) for x in held) > 1:
-                        yield flush(*(np.concatenate([x[i] for x in held]) for i in range(2)))
-                    key, held = now, []
+                    if rows >= BLOCK_ROWS:
+                        if (out := flush()) is not None:
+                            yield out
+                        held, begins, rows = [], [], 0
+                    key = now
+                    begins.append(len(held))
                 held.append((fp[lo:hi].copy(), rep[lo:hi].copy()))
-        if held and sum(len(x[0]) for x in held) > 1:
-            yield flush(*(np.concatenate([x[i] for x in held]) for i in range(2)))
+                rows += hi - lo
+        if held and (out := flush()) is not None:
+            yield out
 
     dealt = bucketed.repartition("key", "bits", "tile").sortWithinPartitions("key", "bits", "tile")
     return dealt.mapInArrow(compare, "a long, b long")
