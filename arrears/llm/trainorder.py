@@ -1,13 +1,14 @@
 """Operator 9, token ids in training order: fixed-stride shards under a keyed Feistel permutation.
 
-Documents' ids are laid end to end in id order and cut into sequences of `length`; the last one is filled with the pad
-id. A balanced Feistel network over the smallest even power of two that holds all sequence numbers, walked along its
+Documents' ids are laid end to end in the order they are read and cut into sequences of `length`; the last one is filled
+with the pad id. Places on that line come from one sum for each partition of the written token table, so nothing is
+joined or sorted for them; the one shuffle takes compressed pieces to their shards. A balanced Feistel network over the smallest even power of two that holds all sequence numbers, walked along its
 cycle until it falls inside them, gives each sequence its slot: a permutation that any worker computes for itself.
 Slots are range-partitioned by shard; a task writes each of its shards as one file of `slots_per_shard` records of equal
 stride, under another name until it is whole, so a lost executor's shard is written anew and a resumed run skips those
-that are there. A training job reads slot s at byte (s mod slots_per_shard) x stride of its shard, in order.
+that are there; names hold a digest of the line, so that only shards of the same ids in the same order are taken up. A training job reads slot s at byte (s mod slots_per_shard) x stride of its shard, in order.
 
-Null or blank text: the end id alone. Repeated rows and null ids (which come first) each keep their ids; texts of any
+Null or blank text: the end id alone. Repeated rows and null ids each keep their ids; texts of any
 length are cut like others. No rows: no shards.
 """
 
@@ -20,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arrears.llm import tokens
-from arrears.llm._common import Scratch, running_starts
+from arrears.llm._common import Scratch
 
 LENGTH, SLOTS_PER_SHARD, ROUNDS, PAD = 2048, 2048, 6, 0
 
@@ -57,8 +59,8 @@ def permute(x: np.ndarray, n: int, key: str, *, inverse: bool = False) -> np.nda
     return out.astype(np.int64)
 
 
-def shard_path(uri: str, shard: int) -> str:
-    return f"{uri}/shard-{shard:08d}.bin"
+def shard_path(uri: str, digest: str, shard: int) -> str:
+    return f"{uri}/shard-{digest}-{shard:08d}.bin"
 
 
 def open_fs(uri: str):
@@ -75,10 +77,18 @@ def materialise(
     doc_id, start, length, sequence_id, slot, shard, offset of each piece; and the layout."""
     scratch = scratch or Scratch(docs.sparkSession)
     table = tokens.token_table(docs, scratch, id_col=id_col, text_col=text_col, tokenizer=tokenizer, by_word=by_word)
-    starts, total = running_starts(table.select("doc_id", "row", "n"), "n", ["doc_id", "row"], scratch)
+    part = F.shiftright("row", 33)
+    rows = table.withColumn("_part", part)
+    sums = rows.groupBy("_part").agg(F.sum("n").alias("n"), F.bit_xor(F.xxhash64("row", "doc_id", "n", F.xxhash64("ids"))).alias("h"))
+    base, total, mixed = [], 0, 0
+    for r in sorted(map(tuple, sums.collect())):  # a row a partition
+        base.append((r[0], total))
+        total, mixed = total + r[1], mixed ^ r[2]
+    digest = hashlib.sha256(f"{mixed}/{total}/{length}/{slots_per_shard}/{key}/{pad}".encode()).hexdigest()[:12]
+    bases = scratch.spark.createDataFrame(base, "_part long, _base long")
     count = -(-total // length)
     path = tokenizer or tokens.default_tokenizer()
-    rows = table.select("row", F.col("doc_id").cast("long").alias("doc_id"), "ids", "n").join(starts.select("row", "at"), "row")
+    rows = rows.join(F.broadcast(bases), "_part").select(F.col("doc_id").cast("long").alias("doc_id"), "ids", "n", (F.col("at") + F.col("_base")).alias("at"))
     schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("start", "length", "sequence_id", "slot", "shard", "offset")), ("ids", pa.binary())])
     ddl = "doc_id long, start long, length long, sequence_id long, slot long, shard long, offset long, ids binary"
 
@@ -88,11 +98,12 @@ def materialise(
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, kind = tokens.encoder(path, by_word)
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in schema}
             for doc, ids, n, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "n", "at")), strict=True):
                 for start, size, sequence, offset, own in tokens.cut(ids, at, kind.itemsize, n, bounds):
-                    for name, x in (("doc_id", doc), ("start", start), ("length", size), ("sequence_id", sequence), ("offset", offset), ("ids", own)):
+                    for name, x in (("doc_id", doc), ("start", start), ("length", size), ("sequence_id", sequence), ("offset", offset), ("ids", pack(own))):
                         out[name].append(x)
             slot = permute(np.array(out["sequence_id"], np.int64), count, key)
             yield tokens.arrow(out | {"slot": slot, "shard": slot // slots_per_shard}, schema)
@@ -102,6 +113,7 @@ def materialise(
         fs, root = open_fs(folder)
         fs.create_dir(root, recursive=True)
         shard, sink, at, name = -1, None, 0, ""
+        unpack = zstandard.ZstdDecompressor().decompress
 
         def fill(upto: int) -> None:
             nonlocal at
@@ -113,7 +125,7 @@ def materialise(
             if sink:
                 fill(min(slots_per_shard, count - shard * slots_per_shard) * length)
                 sink.close()
-                fs.move(name, shard_path(root, shard))
+                fs.move(name, shard_path(root, digest, shard))
 
         for batch in batches:
             for number, slot, offset, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "slot", "offset", "ids")), strict=True):
@@ -122,30 +134,31 @@ def materialise(
                     shard, at = number, 0
                     from pyarrow.fs import FileType
 
-                    info = fs.get_file_info(shard_path(root, shard))
+                    info = fs.get_file_info(shard_path(root, digest, shard))
                     whole = min(slots_per_shard, count - shard * slots_per_shard) * length * kind.itemsize
                     name = f"{root}/.{uuid.uuid4().hex}.part"
                     sink = None if info.type == FileType.File and info.size == whole else fs.open_output_stream(name)
                 if sink:
                     place = (slot - shard * slots_per_shard) * length + offset
                     fill(place)
-                    sink.write(ids)
-                    at = place + len(ids) // kind.itemsize
+                    own = unpack(ids)
+                    sink.write(own)
+                    at = place + len(own) // kind.itemsize
             yield batch.drop_columns(["ids"])
         close()
 
-    placed = rows.select("doc_id", "ids", "n", "at").mapInArrow(pieces, ddl)
+    placed = rows.mapInArrow(pieces, ddl)
     shards = max(1, -(-count // slots_per_shard))
     dealt = placed.repartitionByRange(min(shards, 100_000), "shard").sortWithinPartitions("shard", "slot", "offset")
     index = scratch.save(dealt.mapInArrow(write, ddl.removesuffix(", ids binary")), "index")
     scratch.drop(table)
-    layout = {"folder": folder, "tokens": total, "sequences": count, "length": length, "slots_per_shard": slots_per_shard, "key": key, "tokenizer": path, "by_word": by_word}
+    layout = {"folder": folder, "digest": digest, "tokens": total, "sequences": count, "length": length, "slots_per_shard": slots_per_shard, "key": key, "tokenizer": path, "by_word": by_word}
     return index, layout
 
 
 def read_back(index: DataFrame, layout: dict) -> DataFrame:
     """The index and, from the shards' bytes, read in order, each piece's ids_crc32 (over little-endian 32-bit ids)."""
-    folder, length, per, path, by_word = (layout[k] for k in ("folder", "length", "slots_per_shard", "tokenizer", "by_word"))
+    folder, digest, length, per, path, by_word = (layout[k] for k in ("folder", "digest", "length", "slots_per_shard", "tokenizer", "by_word"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, kind = tokens.encoder(path, by_word)
@@ -157,7 +170,7 @@ def read_back(index: DataFrame, layout: dict) -> DataFrame:
                 if number != shard:
                     if source:
                         source.close()
-                    shard, source, at = number, fs.open_input_stream(shard_path(root, number)), 0
+                    shard, source, at = number, fs.open_input_stream(shard_path(root, digest, number)), 0
                 place = ((slot - shard * per) * length + offset) * kind.itemsize
                 if place > at:
                     source.read(place - at)
