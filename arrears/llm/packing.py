@@ -59,12 +59,12 @@ def curve_keys(ids: list[np.ndarray], dims: int = DIMS, bits: int = BITS, seed:
     """A Hilbert key for each list of token ids."""
     random = np.random.default_rng(seed)
     axes = random.standard_normal((HASHED, dims)).astype(np.float32)
+    axes = np.stack([axes, -axes], 1).reshape(-1, dims)  # a token's hash is a place and a sign
     sizes = np.array([len(x) for x in ids], np.int64)
     points = np.zeros((len(ids), dims), np.float64)
     if sizes.sum():
         every = np.concatenate(ids).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        rows = axes[(every >> np.uint64(55)).astype(np.int64)]
-        rows[(every >> np.uint64(54)) & np.uint64(1) == 1] *= -1
+        rows = axes[(every >> np.uint64(54)).view(np.int64)]
         some = sizes > 0
         points[some] = np.add.reduceat(rows, (np.cumsum(sizes) - sizes)[some], axis=0, dtype=np.float64)
         norm = np.linalg.norm(points, axis=1, keepdims=True)
