@@ -11,7 +11,8 @@ counter is beyond the radius. A bucket passes on the edges of a spanning forest,
 Similar texts lie further apart than pigeonhole blocks can reach: at a Jaccard similarity of 0.8 two fingerprints differ in
 9.7 bits on average. `similar_groups` therefore takes buckets by random choices of bits (`tables` of them), keeps from
 each bucket a spanning forest of least distances, and verifies each of its edges by the exact similarity of the texts'
-shingle sets; so what it links is similar, and its recall is measured in the tests.
+shingle sets; so what it links is similar, and its recall is measured in the tests. There a node is a set of distinct shingles
+(its 128-bit hash), and the fingerprint is that of the set: a shingle that fills a text weighs no more than another.
 
 Null or blank text: fingerprint 0, linked like any other. Fewer words than a shingle: the whole sequence is the shingle.
 Texts are read whole. Repeated rows each keep their row. A null id keeps its row and never names a component.
@@ -295,16 +296,26 @@ def similar_groups(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 16,
     tables: int = 64, bits: int = 12, tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
-    """row (a key of its own), doc_id, component of each row of docs: groups of texts linked by Jaccard similarity of word shingles.
+    """doc_id, print (of the text), component of each row of docs: groups of texts linked by Jaccard similarity of word shingles.
 
-    A component's name is its smallest row key; one row of each has it as its own.
+    A component's name is the smallest key of its shingle sets.
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints = with_fingerprints(rows, width=width, out="fp").select("doc_id", F.xxhash64("text").alias("print"), "fp")
+
+    @F.pandas_udf("fp long, key binary")
+    def described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh128_digest
+
+        for texts in batches:
+            own = [np.unique(shingle_hashes(t, width)) for t in texts]
+            yield pd.DataFrame({"fp": majority(own).view(np.int64), "key": [xxh128_digest(x.tobytes()) for x in own]})
+
+    prints = rows.select("doc_id", F.xxhash64("text").alias("print"), described(F.col("text").cast("binary")).alias("_own")).select("doc_id", "print", "_own.*")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "print")
     prints = scratch.save(prints, "prints")
-    nodes = scratch.save(prints.groupBy("fp").agg(F.min(order).alias("o")).select("fp", F.col("fp").alias("rep"), "o.doc_id", "o.print"), "nodes")
+    nodes = prints.groupBy("key", "fp").agg(F.min(order).alias("o"))
+    nodes = scratch.save(nodes.select("key", "fp", F.monotonically_increasing_id().alias("rep"), "o.doc_id", "o.print"), "nodes")
     found = edges_of(buckets(nodes.select("fp", "rep"), random_masks(tables, bits), tile_rows), radius, least=True)
     found = scratch.save(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "found")
 
@@ -330,8 +341,8 @@ def similar_groups(
     pairs = found.join(texts.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
     links = pairs.where(jaccard("sa", "sb") >= similarity).select("a", "b")
     parts = connected_components(links, scratch)
-    grouped = nodes.join(parts, nodes.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return prints.join(grouped, "fp").select("doc_id", "print", "component")
+    grouped = nodes.join(parts, nodes.rep == parts.node, "left").select("key", F.coalesce("component", "rep").alias("component"))
+    return prints.join(grouped, "key").select("doc_id", "print", "component")
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:

@@ -99,3 +99,12 @@ def test_dedup_keeps_one_of_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (None, "z"), (None, "z"), (5, None), (6, "")], "doc_id long, text string")
     assert sorted(map(tuple, simhash.dedup(df).collect()), key=str) == [(1, "a b c"), (5, None), (None, "z")]
     assert simhash.dedup(df.limit(0)).count() == 0
+
+
+def test_a_shingle_that_fills_two_texts_does_not_join_them(spark):
+    rnd = random.Random(8)
+    own = lambda: " ".join("w%d" % rnd.randrange(10**6) for _ in range(200))
+    rows = [(k, f"{own()}\n{'lol ' * 600}") for k in range(3)]
+    rows += [(3, rows[0][1] + "lol lol")]  # the same distinct shingles
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.dedup(df).collect()) == [0, 1, 2]
