@@ -9,10 +9,11 @@ counter is beyond the radius. A bucket passes on the edges of a spanning forest,
 `tile_rows` fingerprints is cut into pieces that meet pair by pair in separate tasks.
 
 Similar texts lie further apart than pigeonhole blocks can reach: at a Jaccard similarity of 0.8 two fingerprints differ in
-9.7 bits on average. `similar_groups` therefore takes buckets by random choices of bits (`tables` of them), keeps from
-each bucket a spanning forest of least distances, and verifies each of its edges by the exact similarity of the texts'
-shingle sets; so what it links is similar, and its recall is measured in the tests. There a node is a set of distinct shingles
-(its 128-bit hash), and the fingerprint is that of the set: a shingle that fills a text weighs no more than another.
+9.7 bits on average. `similar_groups` therefore takes no fingerprints but prefixes, which lose no pair: with all shingles in
+one order, two sets of that similarity share one among the first n - ceil(0.8 n) + 1 of each. A node is a set of distinct
+shingles (its 128-bit hash). The order is that of the hashes, with those found often in a sample of the texts last; any
+such choice is right, it only spares comparisons. Links to one centre a shingle are verified first; then all pairs that
+share a prefix shingle and are not in one component yet, but those whose prefixes bound the similarity below the threshold.
 
 Null or blank text: fingerprint 0, linked like any other. Fewer words than a shingle: the whole sequence is the shingle.
 Texts are read whole. Repeated rows each keep their row. A null id keeps its row and never names a component.
@@ -166,44 +167,6 @@ def forest(fps: np.ndarray, radius: int, ends: np.ndarray | None = None) -> np.n
     return label
 
 
-def least_forest(fps: np.ndarray, radius: int, buckets_end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of least distances: the edges (Kruskal, by levels of distance)."""
-    label, rows, ends, far = np.arange(len(fps)), [], [], []
-    for i, found in close_pairs(fps, radius, buckets_end):
-        rows.append(np.full(len(found), i))
-        ends.append(found)
-        far.append(np.bitwise_count(fps[found] ^ fps[i]))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rows, ends, far = np.concatenate(rows), np.concatenate(ends), np.concatenate(far)
-    a, b = [], []
-    for level in range(radius + 1):
-        at = far == level
-        one, two = rows[at], ends[at]
-        while len(one):
-            open_ = label[one] != label[two]
-            one, two = one[open_], two[open_]
-            if not len(one):
-                break
-            # one edge for each larger label, to the smallest of its partners: no cycles, as all edges go downwards
-            high, low = np.maximum(label[one], label[two]), np.minimum(label[one], label[two])
-            order = np.lexsort((low, high))
-            first = order[np.append(True, np.diff(high[order]) != 0)]
-            a.append(one[first])
-            b.append(two[first])
-            to = np.arange(len(fps))
-            to[high[first]] = low[first]
-            while (to[to] != to).any():
-                to = to[to]
-            label = to[label]
-    return np.concatenate(a) if a else np.zeros(0, np.int64), np.concatenate(b) if b else np.zeros(0, np.int64)
-
-
-def random_masks(tables: int, bits: int, seed: int = 3) -> list[int]:
-    rnd = np.random.default_rng(seed)
-    return [sum(1 << int(b) for b in rnd.choice(64, bits, replace=False)) for _ in range(tables)]
-
-
 def scheme(nodes: int, radius: int) -> list[int]:
     """Masks of the bits that a bucket's fingerprints share; two within the radius share one bucket at least."""
     for c in range(1, 5):
@@ -232,8 +195,8 @@ def buckets(nodes: DataFrame, masks: list[int], tile_rows: int) -> DataFrame:
     return rows.withColumn("own", own).select("fp", "rep", "key", "bits", F.explode(F.coalesce(tiles, F.array(F.lit(0).cast("long")))).alias("tile"))
 
 
-def edges_of(bucketed: DataFrame, radius: int, least: bool = False) -> DataFrame:
-    """(a, b): a spanning forest of the links of each bucket, of least distances if asked for."""
+def edges_of(bucketed: DataFrame, radius: int) -> DataFrame:
+    """(a, b): a spanning forest of the links of each bucket."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch | None:
@@ -242,12 +205,9 @@ def edges_of(bucketed: DataFrame, radius: int, least: bool = False) -> DataFrame
             sizes = np.array([len(x[0]) for x in held])
             sizes = np.add.reduceat(sizes, np.array(begins))
             ends = np.repeat(np.cumsum(sizes), sizes)
-            if least:
-                one, two = least_forest(fp.view(np.uint64), radius, ends)
-            else:
-                label = forest(fp.view(np.uint64), radius, ends)
-                one = np.flatnonzero(label != np.arange(len(label)))
-                two = label[one]
+            label = forest(fp.view(np.uint64), radius, ends)
+            one = np.flatnonzero(label != np.arange(len(label)))
+            two = label[one]
             return pa.RecordBatch.from_arrays([pa.array(rep[one]), pa.array(rep[two])], ["a", "b"]) if len(one) else None
 
         held: list[tuple[np.ndarray, ...]] = []
@@ -293,36 +253,50 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def similar_groups(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 16,
-    tables: int = 64, bits: int = 12, tile_rows: int = TILE_ROWS,
-) -> DataFrame:
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, often: int = 12, most: int = 200_000,
+) -> DataFrame:
     """doc_id, print (of the text), component of each row of docs: groups of texts linked by Jaccard similarity of word shingles.
 
-    A component's name is the smallest key of its shingle sets.
+    A component's name is the smallest key of its shingle sets. `often`: so often in the texts' sample a shingle is put
+    last; at most `most` are.
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    @F.pandas_udf("fp long, key binary")
+    @F.pandas_udf("array<long>")
+    def distinct(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts], dtype=object)
+
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0).select(F.explode(distinct(F.col("text").cast("binary"))).alias("h"))
+    common = sample.groupBy("h").count().where(F.col("count") >= often).orderBy(F.desc("count"), "h").limit(most)
+    last = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.h for r in common.collect()], np.int64).view(np.uint64)))
+
+    @F.pandas_udf("key binary, n int, prefix array<long>")
     def described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        """`prefix`: places in the order, 63 bits of each hash below zero, those of common ones from zero up."""
         from xxhash import xxh128_digest
 
         for texts in batches:
-            own = [np.unique(shingle_hashes(t, width)) for t in texts]
-            yield pd.DataFrame({"fp": majority(own).view(np.int64), "key": [xxh128_digest(x.tobytes()) for x in own]})
+            out = []
+            for t in texts:
+                own = np.unique(shingle_hashes(t, width))
+                place = (own >> np.uint64(1)).view(np.int64)
+                place = np.sort(np.where(np.isin(own, last.value), place, place - 2**62 - 2**62))
+                out.append((xxh128_digest(own.tobytes()), len(own), place[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]))
+            yield pd.DataFrame(out, columns=["key", "n", "prefix"])
 
     prints = rows.select("doc_id", F.xxhash64("text").alias("print"), described(F.col("text").cast("binary")).alias("_own")).select("doc_id", "print", "_own.*")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "print")
     prints = scratch.save(prints, "prints")
-    nodes = prints.groupBy("key", "fp").agg(F.min(order).alias("o"))
-    nodes = scratch.save(nodes.select("key", "fp", F.monotonically_increasing_id().alias("rep"), "o.doc_id", "o.print"), "nodes")
-    found = edges_of(buckets(nodes.select("fp", "rep"), random_masks(tables, bits), tile_rows), radius, least=True)
-    found = scratch.save(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "found")
-
-    @F.pandas_udf("binary")
-    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([np.unique(shingle_hashes(t, width)).tobytes() for t in texts], dtype=object)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "print")
+    nodes = prints.groupBy("key").agg(F.min(order).alias("o"))
+    nodes = scratch.save(nodes.select("key", F.monotonically_increasing_id().alias("rep"), "o.doc_id", "o.print"), "nodes")
+    first = nodes.select("key", "rep", F.col("doc_id").alias("_d"), F.col("print").alias("_p"))
+    index = prints.join(first, (prints.key == first.key) & F.col("doc_id").eqNullSafe(F.col("_d")) & prints.print.eqNullSafe(F.col("_p")))
+    index = index.select("rep", "n", F.size("prefix").alias("p"), F.array_max("prefix").alias("top"), F.posexplode("prefix").alias("i", "h")).distinct()
+    index = scratch.save(index, "index")
+    centre = index.groupBy("h").agg(F.min(F.struct(F.xxhash64("rep", "h"), F.col("rep").alias("c"))).alias("m"), F.count_distinct("rep").alias("reps"))
+    index = scratch.save(index.join(centre.where("reps > 1").select("h", "m.c"), "h"), "shared")
 
     @F.pandas_udf("double")
     def jaccard(one: pd.Series, two: pd.Series) -> pd.Series:
@@ -333,13 +307,38 @@ def similar_groups(
 
         return pd.Series([both(x, y) for x, y in zip(one, two, strict=True)])
 
-    wanted = found.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(nodes, "rep")
-    wanted = wanted.select("rep", F.col("doc_id").alias("_d"), F.col("print").alias("_p"))
-    texts = rows.withColumn("print", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("print") == F.col("_p")))
-    texts = texts.dropDuplicates(["rep"]).select("rep", shingles(F.col("text").cast("binary")).alias("s"))
-    texts = scratch.save(texts, "shingles")
-    pairs = found.join(texts.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
-    links = pairs.where(jaccard("sa", "sb") >= similarity).select("a", "b")
+    @F.pandas_udf("binary")
+    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.unique(shingle_hashes(t, width)).tobytes() for t in texts], dtype=object)
+
+    def verified(found: DataFrame) -> DataFrame:
+        wanted = found.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(nodes, "rep")
+        wanted = wanted.select("rep", F.col("doc_id").alias("_d"), F.col("print").alias("_p"))
+        texts = rows.withColumn("print", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("print") == F.col("_p")))
+        texts = texts.dropDuplicates(["rep"]).select("rep", shingles(F.col("text").cast("binary")).alias("s"))
+        texts = scratch.save(texts, "shingles")
+        pairs = found.join(texts.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
+        return scratch.save(pairs.where(jaccard("sa", "sb") >= similarity).select("a", "b"), "links")
+
+    # a few centres of each node, those it shares most with: large groups become components by few comparisons
+    near = index.where("rep <> c").groupBy("rep", "c").count().groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("count", "c")), asc=False).alias("l"))
+    near = near.select(F.col("rep").alias("a"), F.explode(F.slice("l", 1, 4)).alias("x")).select("a", F.col("x.c").alias("b"))
+    links = verified(scratch.save(near, "near"))
+    parts = connected_components(links, scratch).withColumnRenamed("node", "rep")
+    index = index.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    index = scratch.save(index, "labelled")
+    mixed = index.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
+    index = index.join(mixed, "h").drop("c")
+    one, two = (index.select("h", *[F.col(c).alias(f"{x}_{c}") for c in ("rep", "n", "p", "top", "i", "component")]) for x in "ab")
+    sized = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-6
+    pairs = one.join(two, "h").where((F.col("a_rep") < F.col("b_rep")) & (F.col("a_component") != F.col("b_component")) & sized)
+    pairs = pairs.groupBy("a_rep", "b_rep", "a_n", "b_n", "a_p", "b_p", "a_top", "b_top").agg(F.count(F.lit(1)).alias("k"), F.max("a_i").alias("a_i"), F.max("b_i").alias("b_i"))
+    # after the last shared place nothing of the prefix that ends first is shared
+    rest_a = F.col("a_n") - F.when(F.col("a_top") < F.col("b_top"), F.col("a_p")).otherwise(F.col("a_i") + 1)
+    rest_b = F.col("b_n") - F.when(F.col("b_top") < F.col("a_top"), F.col("b_p")).otherwise(F.col("b_i") + 1)
+    possible = F.col("k") + F.least(rest_a, rest_b) >= similarity / (1 + similarity) * (F.col("a_n") + F.col("b_n")) - 1e-6
+    links = links.union(verified(scratch.save(pairs.where(possible).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")), "pairs")))
     parts = connected_components(links, scratch)
     grouped = nodes.join(parts, nodes.rep == parts.node, "left").select("key", F.coalesce("component", "rep").alias("component"))
     return prints.join(grouped, "key").select("doc_id", "print", "component")

@@ -108,3 +108,29 @@ def test_a_shingle_that_fills_two_texts_does_not_join_them(spark):
     rows += [(3, rows[0][1] + "lol lol")]  # the same distinct shingles
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.dedup(df).collect()) == [0, 1, 2]
+
+
+def test_every_similar_pair_of_dense_families_is_linked(spark):
+    """Families of templated texts, most pairs at 0.6 to 0.8: the groups are those of all pairs."""
+    rnd = random.Random(12)
+    rows = []
+    for _ in range(4):
+        base = ["w%d" % rnd.randrange(10**6) for _ in range(120)]
+        for _ in range(60):
+            w = list(base)
+            for at in rnd.sample(range(120), rnd.choice([1, 2, 3, 4, 5])):
+                w[at] = "new%d" % rnd.randrange(10**6)
+            rows.append((len(rows), " ".join(w)))
+        rows.append((len(rows), rows[-1][1] + " one more"))
+    sets = [grams(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for j in range(len(rows)):
+        for i in range(j):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    for often in (1, 12):
+        groups = {}
+        for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), often=often).collect():
+            groups.setdefault(r.component, set()).add(root[r.doc_id])
+        assert all(len(x) == 1 for x in groups.values()) and len(groups) == len(set(root)) > 8
