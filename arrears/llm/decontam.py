@@ -1,13 +1,12 @@
-"""Operator 10, benchmark decontamination [native]: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
+"""Operator 10, benchmark decontamination [native]: every item-sized window of a text, exactly, by counts that slide.
 
-A window of an item's size can only be similar to an item if it shares a shingle with it, so windows are laid where a
-shared shingle puts the item (text place minus item place); a window without one has similarity 0 and is not looked at.
-Windows of equal words are one. Each window's fingerprint is the majority of its shingle hashes, summed 22 counters at a
-time in three lanes of a 64-bit word. Fingerprints meet those of items of their size in `radius + 1` blocks of bits, so
-that every pair within the radius shares a block; pairs within it are verified by the weighted Jaccard similarity of
-their shingles, a shingle weighing as often as it occurs: sum of minima / sum of maxima >= `similarity`.
-At a similarity of 0.8 two fingerprints differ in 9.7 bits on average, 2.9 being the deviation; the radius of 22 is over
-four deviations beyond (under 1 in 100,000 pairs just at the threshold are missed, none of equal words).
+The similarity of a window and an item is the weighted Jaccard similarity of their shingles, a shingle weighing as often as
+it occurs: sum of minima / sum of maxima >= `similarity`. Order does not count, so windows may start anywhere: an item with
+its halves swapped is found. A text goes on if some window holds enough shingles of the items of a size. Then each
+occurrence of an item's shingle adds one to the sum of minima of the windows that hold it and, as long as the item has it m
+times, not the m-th before it; these are a run of starts. The running sum over where the runs begin and end is the sum of
+minima at every start, so all windows are looked at in time linear in the hits, and none is missed. Of equally similar
+windows, those that lay a shared shingle on its place in the item come first, then the first.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Items under `width` words are matched as one
 shingle; items without words match nothing, as do null and blank texts. Items may have up to 500,000 words. A window at a
@@ -26,8 +25,7 @@ from pyspark.sql import Window as W
 from arrears.llm._common import Scratch
 from arrears.llm.licenses import words_of
 
-WIDTH, RADIUS, SIMILARITY = 5, 22, 0.8
-LANES = 1 + (1 << 22) + (1 << 44)
+WIDTH, SIMILARITY = 5, 0.8
 
 
 def grams_of(words: str, width: int) -> Column:
@@ -44,72 +42,57 @@ def grams_by_size(words: str, size: Column, width: int) -> Column:
     return out
 
 
-def prints(grams: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n (shingles) and the majority fingerprint fp, from a row for each shingle (h, m: its hash and how often)."""
-    lanes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(LANES)) * F.col("m")).alias(f"s{j}") for j in range(22)]
-    sums = grams.groupBy(*keys).agg(F.sum("m").alias("n"), *lanes)
-    bit = lambda b: F.when(F.shiftright(f"s{b % 22}", 22 * (b // 22)).bitwiseAND(F.lit((1 << 22) - 1)) * 2 > F.col("n"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0))
-    return sums.select(*keys, "n", reduce(lambda a, b: a.bitwiseOR(b), [bit(b).cast("long") for b in range(64)]).alias("fp"))
-
-
-def blocks(fp: str, radius: int) -> Column:
-    """The radius + 1 blocks of bits of a fingerprint, as structs of block and bits."""
-    count = radius + 1
-    edges = [round(i * 64 / count) for i in range(count + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("bits")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
-
-
 def leaks(
     docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-    width: int = WIDTH, radius: int = RADIUS, similarity: float = SIMILARITY, broadcast_rows: int = 200_000,
+    width: int = WIDTH, similarity: float = SIMILARITY, broadcast_rows: int = 200_000,
 ) -> DataFrame:
-    """doc_id, print (of the text), item_id, start, n_words, similarity, distance: the best window of each text and item."""
+    """doc_id, print (of the text), item_id, start, n_words, similarity: the best window of each text and item."""
     scratch = Scratch(docs.sparkSession)
     listed = items.select(F.col(item_id).alias("item"), words_of(F.col(item_text)).alias("iw")).where(F.size("iw") > 0)
     listed = listed.withColumn("size", F.size("iw"))
     placed = listed.select("item", "size", F.posexplode(grams_by_size("iw", F.col("size"), width)).alias("t", "gram"))
     placed = scratch.save(placed.withColumn("h", F.xxhash64("gram")), "items")
-    counted = placed.groupBy("item", "size", "gram", "h").agg(F.count(F.lit(1)).alias("m"))
-    item_prints = prints(counted, ["item", "size"]).select("item", "size", F.col("n").alias("item_n"), F.col("fp").alias("item_fp"))
+    counted = placed.groupBy("item", "size", "gram").agg(F.count(F.lit(1)).alias("m"), F.collect_list("t").alias("ts"))
+    small = placed.count() <= broadcast_rows
     sizes = [r.w for r in placed.select(F.least("size", F.lit(width)).alias("w")).distinct().collect()] or [width]  # at most `width` values
 
-    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("print"), words_of(F.col(text_col)).alias("w"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("print"), words_of(F.col(text_col)).alias("w")).withColumn("nw", F.size("w"))
     each = own
     if sizes == [width]:
-        each = each.select("doc_id", "print", F.lit(width).alias("gw"), F.posexplode(grams_of("w", width)).alias("p", "gram"))
+        each = each.select("doc_id", "print", "nw", F.lit(width).alias("gw"), F.posexplode(grams_of("w", width)).alias("p", "gram"))
     else:
-        per = [each.select("doc_id", "print", F.lit(g).alias("gw"), F.posexplode(grams_of("w", g)).alias("p", "gram")) for g in sorted(sizes)]
+        per = [each.select("doc_id", "print", "nw", F.lit(g).alias("gw"), F.posexplode(grams_of("w", g)).alias("p", "gram")) for g in sorted(sizes)]
         each = reduce(DataFrame.union, per)
-    known = placed.select("t", "size", F.col("gram").alias("same"), F.col("h").alias("th"), F.least("size", F.lit(width)).alias("tw"))
-    known = known.distinct()
-    if placed.count() <= broadcast_rows:
-        known = F.broadcast(known)
+    known = placed.select("size", F.col("gram").alias("same"), F.col("h").alias("th"), F.least("size", F.lit(width)).alias("tw")).distinct()
+    if small:
+        known, counted = F.broadcast(known), F.broadcast(counted)
     hits = each.join(known, (F.xxhash64("gram") == F.col("th")) & (F.col("gram") == F.col("same")) & (F.col("gw") == F.col("tw")))
-    starts = hits.select("doc_id", "print", F.greatest(F.col("p") - F.col("t"), F.lit(0)).alias("start"), "size").distinct()
-    starts = starts.groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "size")).alias("starts"))
-    starts = scratch.save(starts, "starts").select(F.col("doc_id").alias("_d"), F.col("print").alias("_p"), "starts")
-
-    found = own.join(starts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("print") == F.col("_p")))
-    cut = F.transform("starts", lambda s: F.struct(s["start"].alias("start"), s["size"].alias("size"), F.slice("w", s["start"] + 1, s["size"]).alias("ww")))
-    windows = found.select("doc_id", "print", F.inline(cut))
-    windows = windows.withColumn("content", F.unhex(F.md5(F.concat_ws(" ", F.col("size").cast("string"), F.array_join("ww", " ")))))
-    windows = scratch.save(windows, "windows")
-    unique = windows.groupBy("content", "size").agg(F.first("ww").alias("ww"))
-    grams = unique.select("content", "size", F.explode(grams_by_size("ww", F.col("size"), width)).alias("gram"))
-    grams = grams.groupBy("content", "size", "gram").agg(F.count(F.lit(1)).alias("m")).withColumn("h", F.xxhash64("gram"))
-    grams = scratch.save(grams, "grams")
-    window_prints = prints(grams, ["content", "size"])
-
-    met = window_prints.select("content", "size", "n", "fp", F.inline(blocks("fp", radius)))
-    met = met.join(item_prints.select("item", "size", "item_n", "item_fp", F.inline(blocks("item_fp", radius))), ["size", "block", "bits"])
-    met = met.withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("distance") <= radius)
-    met = met.select("content", "size", "n", "item", "item_n", "distance").distinct()
-    both = met.join(grams.select("content", "gram", "m"), "content").join(counted.select("item", "gram", F.col("m").alias("im")), ["item", "gram"])
-    alike = both.groupBy("content", "item", "n", "item_n", "distance").agg(F.sum(F.least("m", "im")).alias("shared"))
-    alike = alike.withColumn("similarity", F.col("shared") / (F.col("n") + F.col("item_n") - F.col("shared"))).where(F.col("similarity") >= similarity)
-    placed = windows.select("doc_id", "print", "start", "content", F.size("ww").alias("n_words")).join(alike, "content")
-    best = placed.groupBy("doc_id", "print", "item").agg(
-        F.min_by(F.struct("start", "n_words", "similarity", "distance"), F.struct(-F.col("similarity"), F.col("start"))).alias("b")
+    keys = ["doc_id", "print", "nw", "size", "tw"]
+    found = hits.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("p", "gram"))).alias("hits"))
+    found = found.withColumn("n", F.col("size") - F.col("tw") + 1).withColumn("need", F.ceil(F.col("n") * similarity - 1e-9).cast("int"))
+    near = F.exists(F.sequence(F.lit(0), F.size("hits") - F.col("need")), lambda i: F.get(F.col("hits"), i + F.col("need") - 1)["p"] - F.get(F.col("hits"), i)["p"] < F.col("n"))
+    found = scratch.save(found.where(F.when(F.size("hits") >= F.col("need"), near).otherwise(False)), "found")
+
+    keys = [*keys, "n"]
+    at = found.select(*keys, F.inline("hits")).groupBy(*keys, "gram").agg(F.sort_array(F.collect_set("p")).alias("q"))
+    at = at.join(counted, ["size", "gram"])
+    event = lambda start, d, laid: F.struct(start.cast("int").alias("start"), F.lit(d).alias("d"), F.lit(laid).alias("laid"))
+    before = lambda k: F.when(k >= F.col("m"), F.get(F.col("q"), (k - F.col("m")).cast("int")) + 1).otherwise(0)
+    begins = F.transform("q", lambda x, k: event(F.greatest(x - F.col("n") + 1, before(k), F.lit(0)), 1, False))
+    ends = F.transform("q", lambda x: event(x + 1, -1, False))
+    laid = F.array_distinct(F.flatten(F.transform("q", lambda x: F.transform("ts", lambda t: event(F.greatest(x - t, F.lit(0)), 0, True)))))
+    events = at.select(*keys, "item", F.inline(F.concat(begins, ends, laid)))
+    events = events.groupBy(*keys, "item", "start").agg(F.sum("d").alias("d"), F.max("laid").alias("laid"))
+    order = W.partitionBy("doc_id", "print", "item").orderBy("start")
+    runs = events.withColumn("next", F.lead("start").over(order)).withColumn("shared", F.sum("d").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    # a run's first start; at the text's end windows get shorter, so its last one may be better
+    starts = F.array(F.struct("start", "laid"), F.struct((F.col("next") - 1).alias("start"), F.lit(False).alias("laid")))
+    windows = runs.where("shared > 0").select("doc_id", "print", "item", "nw", "size", "tw", "n", "shared", F.inline(starts)).where("start is not null")
+    held = F.least("n", F.col("nw") - F.col("tw") + 1 - F.col("start"))
+    windows = windows.withColumn("similarity", F.col("shared") / (held + F.col("n") - F.col("shared"))).where(F.col("similarity") >= similarity)
+    windows = windows.withColumn("n_words", F.least("size", F.col("nw") - F.col("start")))
+    best = windows.groupBy("doc_id", "print", "item").agg(
+        F.min_by(F.struct("start", "n_words", "similarity"), F.struct(-F.col("similarity"), ~F.col("laid"), F.col("start"))).alias("b")
     )
     return best.select("doc_id", "print", F.col("item").alias("item_id"), "b.*")
 

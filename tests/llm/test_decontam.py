@@ -68,3 +68,18 @@ def test_nothing_to_do(spark):
     one = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     assert decontam.matches(d, i).count() == 0
     assert decontam.decontaminate(one, i).count() == 1
+
+
+def test_windows_off_every_diagonal(spark):
+    """Halves and sentences of an item in another order, also at a text's end and with words changed."""
+    rnd = random.Random(14)
+    text = lambda n: ["w%d" % rnd.randrange(10**6) for _ in range(n)]
+    item = text(60)
+    swapped = item[30:] + item[:30]
+    changed = [w if k != 3 else "changed" for k, w in enumerate(swapped)]
+    turned = item[40:] + item[20:40] + item[:20]
+    docs = [(k, " ".join(w)) for k, w in enumerate((text(25) + swapped + text(40), text(25) + changed, turned + text(9), swapped[:54], text(70) + item[:40]))]
+    items = [(1, " ".join(item)), (2, " ".join(text(60)))]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontam.matches(d, i).collect()} == want and (0, 1) in want and (1, 1) in want
