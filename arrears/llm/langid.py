@@ -254,12 +254,17 @@ def calibrate(model: Model, texts: list[list[str]], reject_z: float) -> Model:
         if (like := np.log(np.maximum(p, 1e-6)).mean()) > best + 1e-9:
             best, chosen = like, beta
     model.beta = chosen
+    right = mean.argmax(1) == truth
+    every, every_var = (x[np.flatnonzero(right), truth[right]] for x in (mean, var))
     for j in range(k):
-        own = (truth == j) & (mean.argmax(1) == j)
+        own = right & (truth == j)
         if own.sum() >= 5:
             model.mean[j], model.var[j], model.char_var[j] = -mean[own, j].mean(), max(mean[own, j].var(), 0.002), var[own, j].mean()
+        elif len(every) >= 5:  # what all languages have; little was learned of this one, so no less than its few texts have
+            few = -mean[truth == j, j]
+            model.mean[j], model.var[j], model.char_var[j] = max(-every.mean(), few.mean() if len(few) else -np.inf), max(every.var(), 0.002), every_var.mean()
         else:
-            model.reject_z = np.inf
+            model.mean[j] = np.inf  # nothing is known to be usual: no text is too far
     return model
 
 

@@ -58,3 +58,17 @@ def test_nothing_to_learn_from(spark, tmp_path):
     assert [(r.lang_pred, r.score) for r in q01.op1_langid(spark, str(tmp_path)).collect()] == [("und", 0.0)]
     spark.createDataFrame([], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/e/documents.parquet")
     assert q01.op1_langid(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_a_rare_label_does_not_turn_rejection_off(spark):
+    rnd = random.Random(2)
+    data = [(i, text(rnd, lang, 60), lang) for i, lang in enumerate(list(SOUNDS) * 100)]
+    data += [(900 + i, " ".join("".join(rnd.choices(["kyr", "ow", "pzy"], k=2)) for _ in range(60)), "dd") for i in range(6)]
+    junk = spark.createDataFrame([(1, "日本語 文字 漢字 " * 30), (2, "$x9 {}; 0xFF || qjq&&~ jvx " * 20)], "doc_id long, text string")
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert "dd" in model.langs and model.reject_z == 8.0
+    assert all(r._langid.rejected for r in langid.identify(junk, model).collect())
+    assert not any(r._langid.rejected for r in langid.identify(docs, model).collect() if r.lang != "dd")
+    few = langid.fit(docs.where("doc_id < 6"))  # too few texts to know what is usual in any language
+    assert not any(r._langid.rejected for r in langid.identify(junk, few).collect())
