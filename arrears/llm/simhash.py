@@ -12,7 +12,7 @@ Similar texts lie further apart than pigeonhole blocks can reach: at a Jaccard s
 9.7 bits on average. `similar_groups` therefore takes no fingerprints but prefixes, which lose no pair: with all shingles in
 one order, two sets of that similarity share one among the first n - ceil(0.8 n) + 1 of each. A node is a set of distinct
 shingles (its 128-bit hash). The order is that of the hashes, with those found often in a sample of the texts last; any
-such choice is right, it only spares comparisons. Links to one centre a shingle are verified first; then all pairs that
+such choice is right, it only spares comparisons. Links to a few centres are verified first; then all pairs that
 share a prefix shingle and are not in one component yet, but those whose prefixes bound the similarity below the threshold.
 
 Null or blank text: fingerprint 0, linked like any other. Fewer words than a shingle: the whole sequence is the shingle.
@@ -30,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from arrears.llm._common import Scratch, connected_components
 
@@ -292,11 +293,12 @@ def similar_groups(
     nodes = prints.groupBy("key").agg(F.min(order).alias("o"))
     nodes = scratch.save(nodes.select("key", F.monotonically_increasing_id().alias("rep"), "o.doc_id", "o.print"), "nodes")
     first = nodes.select("key", "rep", F.col("doc_id").alias("_d"), F.col("print").alias("_p"))
-    index = prints.join(first, (prints.key == first.key) & F.col("doc_id").eqNullSafe(F.col("_d")) & prints.print.eqNullSafe(F.col("_p")))
-    index = index.select("rep", "n", F.size("prefix").alias("p"), F.array_max("prefix").alias("top"), F.posexplode("prefix").alias("i", "h")).distinct()
-    index = scratch.save(index, "index")
-    centre = index.groupBy("h").agg(F.min(F.struct(F.xxhash64("rep", "h"), F.col("rep").alias("c"))).alias("m"), F.count_distinct("rep").alias("reps"))
-    index = scratch.save(index.join(centre.where("reps > 1").select("h", "m.c"), "h"), "shared")
+    sets = prints.join(first, (prints.key == first.key) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("print") == F.col("_p"))).dropDuplicates(["rep"])
+    sets = scratch.save(sets.select("rep", "n", F.size("prefix").alias("p"), F.array_max("prefix").alias("top"), "prefix"), "sets")
+    same = W.partitionBy("h")
+    salted = [F.min(F.struct(F.xxhash64("rep", F.lit(k)), "rep")).over(same)["rep"] for k in range(3)]
+    index = sets.select("rep", F.posexplode("prefix").alias("i", "h")).withColumn("reps", F.count(F.lit(1)).over(same)).withColumn("centres", F.array_distinct(F.array(*salted)))
+    index = scratch.save(index.where("reps > 1").join(sets.drop("prefix"), "rep"), "index")
 
     @F.pandas_udf("double")
     def jaccard(one: pd.Series, two: pd.Series) -> pd.Series:
@@ -319,17 +321,20 @@ def similar_groups(
         texts = texts.dropDuplicates(["rep"]).select("rep", shingles(F.col("text").cast("binary")).alias("s"))
         texts = scratch.save(texts, "shingles")
         pairs = found.join(texts.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
-        return scratch.save(pairs.where(jaccard("sa", "sb") >= similarity).select("a", "b"), "links")
-
-    # a few centres of each node, those it shares most with: large groups become components by few comparisons
-    near = index.where("rep <> c").groupBy("rep", "c").count().groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("count", "c")), asc=False).alias("l"))
-    near = near.select(F.col("rep").alias("a"), F.explode(F.slice("l", 1, 4)).alias("x")).select("a", F.col("x.c").alias("b"))
+        links = scratch.save(pairs.where(jaccard("sa", "sb") >= similarity).select("a", "b"), "links")
+        scratch.drop(texts)
+        return links
+
+    # a few centres of each node, those it shares much with: large groups become components by few comparisons
+    near = index.select("rep", "p", F.explode("centres").alias("c")).where("rep <> c").groupBy("rep", "p", "c").count().where("count >= 0.3 * p")
+    near = near.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("count", "c")), asc=False).alias("l"))
+    near = near.select(F.col("rep").alias("a"), F.explode(F.slice("l", 1, 2)).alias("x")).select("a", F.col("x.c").alias("b"))
     links = verified(scratch.save(near, "near"))
     parts = connected_components(links, scratch).withColumnRenamed("node", "rep")
     index = index.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     index = scratch.save(index, "labelled")
     mixed = index.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
-    index = index.join(mixed, "h").drop("c")
+    index = index.join(mixed, "h").drop("centres")
     one, two = (index.select("h", *[F.col(c).alias(f"{x}_{c}") for c in ("rep", "n", "p", "top", "i", "component")]) for x in "ab")
     sized = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-6
     pairs = one.join(two, "h").where((F.col("a_rep") < F.col("b_rep")) & (F.col("a_component") != F.col("b_component")) & sized)
