@@ -1,4 +1,4 @@
-"""Commands (§2.18): sid, ird, sir, analyze, export, caig, replay summaries; results are folders of Parquet, JSON or CSV."""
+"""Commands (§2.18): sid, ird, sir, analyze, export; results are folders of Parquet, JSON or CSV."""
 
 from __future__ import annotations
 

@@ -94,7 +94,7 @@ def mrr(hit: DataFrame, by: list[str], ks: tuple[int, ...] = (1, 3, 5, 10)) -> D
 
 
 def bootstrap_rate(spark, rate: float, n: int, *, resamples: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """A percentile interval of a rate from binomial resamples, drawn in parallel (normal for large counts, exact below)."""
+    """A percentile interval of a rate from resamples drawn in parallel by the normal approximation, also for small counts."""
     z = F.randn(seed)
     spread = math.sqrt(rate * (1 - rate) / n) if n else 0.0
     drawn = spark.range(resamples).select(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round((rate + z * spread) * n) / n)).alias("r"))

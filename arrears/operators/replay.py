@@ -1,4 +1,4 @@
-"""Retrospective replay (§3.3, R5, R9, R10, E13-E15) in closed form: no loop over commits."""
+"""Retrospective replay (§3.3, R5, R10, E13, E15) in closed form: no loop over commits."""
 
 from __future__ import annotations
 
