@@ -3,29 +3,39 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
+from collections.abc import Iterator
+from typing import ClassVar
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (as in tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or, on one machine, one of our own where that is unset (as in tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (path or "file:///tmp/checkpoints").rstrip("/")
 
 
 class Scratch:
     """Tables written to the shared folder, to cut lineage: lost executors cost a re-read, never a recomputation.
 
-    Tables are dropped when `drop` is called or when the driver ends.
+    Tables are dropped when `drop` or `end` is called, by `release`, or when the driver ends.
     """
 
+    alive: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/arrears-{uuid.uuid4().hex}"
         self.n = 0
-        atexit.register(self._end)
+        self.tables: list[str] = []
+        self.alive.append(self)
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -38,32 +48,101 @@ class Scratch:
         out._arrears_path = path
         return out
 
+    def bucketed(self, df: DataFrame, name: str, *keys: str, buckets: int | None = None) -> DataFrame:
+        """As save, but dealt and sorted by `keys`, so that joins on them need no shuffle of this table."""
+        buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        path, table = self.path(name), f"arrears_{uuid.uuid4().hex}"
+        df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+        self.tables.append(table)
+        out = self.spark.table(table)
+        out._arrears_path, out._arrears_table = path, table
+        return out
+
     def drop(self, df_or_path: DataFrame | str | None) -> None:
         path = df_or_path if isinstance(df_or_path, str) else getattr(df_or_path, "_arrears_path", None)
+        if table := getattr(df_or_path, "_arrears_table", None):
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            self.tables.remove(table)
         if path:
             jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
 
-    def _end(self) -> None:
+    def end(self) -> None:
+        """Drops all its tables: for when what was made of them is written."""
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.tables.clear()
+        self.drop(self.root)
+        self.alive.remove(self)
+
+    @classmethod
+    def release(cls, but: list[Scratch]) -> None:
+        """Ends all but those named."""
+        for one in [x for x in cls.alive if x not in but]:
+            one.end()
+
+
+@atexit.register
+def _end_all() -> None:
+    for one in list(Scratch.alive):
         try:
-            self.drop(self.root)
+            one.end()
         except Exception:  # noqa: BLE001  the session has ended already
             pass
 
 
+def hang(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges and, for each, the smallest node they reach: roots hang on smaller ones, then all jump to theirs."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while ((one := root[x]) != (two := root[y])).any():
+        np.minimum.at(root, np.maximum(one, two), np.minimum(one, two))
+        while ((up := root[root]) != root).any():
+            root = up
+    return nodes, nodes[root]
+
+
+def contracted(edges: DataFrame, chunk: int = 1_000_000) -> DataFrame:
+    """The edges (a, b), of whole numbers, with those of each task, `chunk` at a time, replaced by stars around smallest nodes."""
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def flush() -> pa.RecordBatch:
+            node, low = hang(*(np.concatenate([x.column(c).to_numpy() for x in held]) for c in "ab"))
+            own = node != low
+            return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(low[own])], ["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= chunk:
+                yield flush()
+                held, rows = [], 0
+        if rows:
+            yield flush()
+
+    return edges.mapInArrow(stars, "a long, b long")
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, *, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of `edges` (a, b), component being the smallest node reachable.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014): each step hangs neighbours onto the smallest
-    known one, O(log^2 n) rounds, never more edges than at the start. Each round is written to the shared folder. A hub's
-    edges meet only in a join, which Spark may split, and in a min(), which is combined before the shuffle.
+    known one, O(log^2 n) rounds, never more edges than at the start. Each task replaces the edges it has by stars first, so
+    that small or chain-shaped inputs settle at once. Each round is written to the shared folder. A hub's edges meet only in
+    a join, which Spark may split, and in a min(), which is combined before the shuffle.
     Empty input gives an empty result; self-loops and repeated edges count for nothing.
     """
-    edges = scratch.save(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
-    )
-    last = None
+    short = contracted if [t for _, t in edges.select("a", "b").dtypes] == ["bigint", "bigint"] else lambda x: x
+    edges = short(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    edges = scratch.save(short(edges.distinct()), "edges")
+    figures = [
+        F.count("*").alias("n"), F.expr("coalesce(bit_xor(xxhash64(a, b)), 0L)").alias("h"), F.expr("coalesce(bit_xor(xxhash64(b, a)), 0L)").alias("g")
+    ]
+    last = edges.agg(*figures).first()
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
@@ -73,13 +152,11 @@ def connected_components(edges: DataFrame, scratch: Scratch, *, max_rounds: int
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(low.select("a", F.col("m").alias("b")))
-        small = scratch.save(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "small")
+        small = scratch.save(short(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), "small")
         scratch.drop(large)
         scratch.drop(edges)
         edges = small
-        state = edges.agg(
-            F.count("*").alias("n"), F.expr("coalesce(bit_xor(xxhash64(a, b)), 0L)").alias("h"), F.expr("coalesce(bit_xor(xxhash64(b, a)), 0L)").alias("g")
-        ).first()
+        state = edges.agg(*figures).first()
         if state == last:
             break
         last = state
