@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import sys
 import types
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arrears.operators.components import Scratch, connected_components, shared_folder  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,47 +20,24 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_arrears_worker_cache", types.ModuleType("_arrears_worker_cache")).__dict__
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (as in tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    return (path or "file:///tmp/checkpoints").rstrip("/")
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-class Scratch:
-    """Tables written to the shared folder, to cut lineage: lost executors cost a re-read, never a recomputation.
+def whole_rows(df: DataFrame) -> DataFrame:
+    """df with each row packed as the one column `row`, so that no column added later clashes with its own."""
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"))
 
-    Tables are dropped when `drop` is called or when the driver ends.
-    """
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/arrears-{uuid.uuid4().hex}"
-        self.n = 0
-        atexit.register(self._end)
-
-    def path(self, name: str) -> str:
-        self.n += 1
-        return f"{self.root}/{self.n:04d}-{name}"
-
-    def save(self, df: DataFrame, name: str, *, codec: str = "snappy") -> DataFrame:
-        path = self.path(name)
-        df.write.option("compression", codec).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._arrears_path = path
-        return out
-
-    def drop(self, df_or_path: DataFrame | str | None) -> None:
-        path = df_or_path if isinstance(df_or_path, str) else getattr(df_or_path, "_arrears_path", None)
-        if path:
-            jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-
-    def _end(self) -> None:
-        try:
-            self.drop(self.root)
-        except Exception:  # noqa: BLE001  the session has ended already
-            pass
+def unpacked(rows: DataFrame, columns: list[str], **added: Column) -> DataFrame:
+    """The packed rows' columns, and the added ones; a column that has an added one's name gives way to it."""
+    own = [c for c in columns if c.lower() not in {a.lower() for a in added}]
+    rows = rows.select("row", F.struct(F.lit(0).alias("none_"), *[v.alias(k) for k, v in added.items()]).alias("added"))
+    return rows.select(*[F.col("row")[c].alias(c) for c in own], *[F.col("added")[k].alias(k) for k in added])
 
 
 def row_keyed(df: DataFrame, name: str = "_row") -> DataFrame:
@@ -68,44 +45,6 @@ def row_keyed(df: DataFrame, name: str = "_row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, *, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of `edges` (a, b), component being the smallest node reachable.
-
-    Alternates the large-star and small-star steps of Kiveris et al. (2014): each step hangs neighbours onto the smallest
-    known one, O(log^2 n) rounds, never more edges than at the start. Each round is written to the shared folder. A hub's
-    edges meet only in a join, which Spark may split, and in a min(), which is combined before the shuffle.
-    Empty input gives an empty result; self-loops and repeated edges count for nothing.
-    """
-    edges = scratch.save(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
-    )
-    last = None
-    for _ in range(max_rounds):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        large = scratch.save(large, "large")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.union(low.select("a", F.col("m").alias("b")))
-        small = scratch.save(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "small")
-        scratch.drop(large)
-        scratch.drop(edges)
-        edges = small
-        state = edges.agg(
-            F.count("*").alias("n"), F.expr("coalesce(bit_xor(xxhash64(a, b)), 0L)").alias("h"), F.expr("coalesce(bit_xor(xxhash64(b, a)), 0L)").alias("g")
-        ).first()
-        if state == last:
-            break
-        last = state
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )
-
-
 def running_starts(df: DataFrame, size_col: str, order: list[str], scratch: Scratch, *, out: str = "at") -> tuple[DataFrame, int]:
     """df with the sum of size_col over all rows that come before in `order`, and the total.
 

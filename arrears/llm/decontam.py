@@ -9,7 +9,7 @@ minima at every start, so all windows are looked at in time linear in the hits,
 windows, those that lay a shared shingle on its place in the item come first, then the first.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Items under `width` words are matched as one
-shingle; items without words match nothing, as do null and blank texts. Items may have up to 500,000 words. A window at a
+shingle; items without words match nothing, as do null and blank texts. A window at a
 text's end is as long as the text allows. Texts are scanned whole. Repeated rows give one row; ids may be null; other
 columns pass by unread. No rows or no items: no rows. Item shingles are broadcast only up to `broadcast_rows` of them.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from arrears.llm._common import Scratch
+from arrears.llm._common import Scratch, unpacked, whole_rows
 from arrears.llm.licenses import words_of
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -105,5 +105,6 @@ def matches(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of docs whose text matches no item."""
-    bad = leaks(docs, items, id_col=id_col, text_col=text_col, **kw).select(F.col("doc_id").alias("_d"), F.col("print").alias("_p")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_d")) & (F.xxhash64(text_col) == F.col("_p")), "left_anti")
+    bad = leaks(docs, items, id_col=id_col, text_col=text_col, **kw).select("doc_id", "print").distinct()
+    own, text = F.col("row")[id_col], F.col("row")[text_col]
+    return unpacked(whole_rows(docs).join(bad, own.eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("print")), "left_anti"), docs.columns)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrears.llm._common import worker_cache
+from arrears.llm._common import unpacked, whole_rows, worker_cache
 
 ORDER = 4
 CHUNK_CHARS = 150_000
@@ -328,7 +328,7 @@ def fit(
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text", prefix: str = "_langid") -> DataFrame:
-    """All columns of `docs`, and `prefix` as a struct of lang_pred, score, cross_entropy, rejected."""
+    """All columns of `docs`, and `prefix` (in place of a column of that name) as a struct of lang_pred, score, cross_entropy, rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(model).copy())  # of plain arrays: workers need not import this package
     name = f"langid-{uuid.uuid4().hex}"
 
@@ -340,7 +340,8 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", prefix: s
         for texts in batches:
             yield predict(cache[name], texts.tolist())
 
-    return docs.withColumn(prefix, score(F.col(text_col).cast("string")))
+    rows = whole_rows(docs)
+    return unpacked(rows, docs.columns, **{prefix: score(F.col("row")[text_col].cast("string"))})
 
 
 def train_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
