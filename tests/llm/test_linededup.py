@@ -39,16 +39,27 @@ def test_extra_columns_and_no_rows(spark):
     assert linededup.drop_lines(df).columns[:7] == df.columns and linededup.drop_lines(df).count() == 0
 
 
-def test_levels_merge_and_novel_lines(spark):
-    runs = LineRunsOf(spark)
+def test_levels_merge_and_known_keys_are_counted(spark):
+    runs = linededup.LineRuns(Scratch(spark), 2)
     for k in range(5):
         batch = spark.createDataFrame([(bytes([j]), 10 * k + j) for j in range(k + 1)], "key binary, doc long")
-        assert {r.key[0] for r in runs.novel(batch).collect()} == {k}
-        runs.add(batch)
+        assert {r.key[0] for r in runs.add(batch).where("not known").collect()} == {k}
     assert sorted(runs.levels) == [0, 2]
-    assert {(r.key[0], r.last) for r in runs.common(3).collect()} == {(j, 40 + j) for j in range(3)}
-    assert len(runs.levels) == len(runs.names) == 1
+    assert sum(run.count() for run in runs.levels.values()) == 5
+    assert {(r.key[0], r.docs, r.last) for r in runs.common(3).collect()} == {(j, 5 - j, 40 + j) for j in range(3)}
+    runs.close()
+    assert not runs.scratch.tables and not runs.levels
 
 
-def LineRunsOf(spark):
-    return linededup.LineRuns(Scratch(spark), 2)
+def test_clashing_columns_and_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "MIN_SHARE", 3)
+    names = ["_gone", "_doc", "_print", "_lines", "gone", "doc", "print", "lines", "row", "key", "pos", "last", "_KEPT"]
+    hot, other = "a line that is in every document", "a line that is in three of them"
+    rows = [(i, f"{hot}\n{hot}\nown {i} of no other document\n" + (other if i < 3 else ""), *names) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    out = linededup.drop_lines(df)
+    assert out.columns == ["doc_id", "text", *names[:-1], "_kept", "_n_lines", "_n_dropped"]
+    got = out.collect()
+    assert all([r[c] for c in names[:-1]] == names[:-1] for r in got)
+    want = {i: (n, dropped, sha) for i, n, dropped, sha in brute([r[:2] for r in rows])}
+    assert {r.doc_id: (r._n_lines, r._n_dropped, hashlib.sha256(r._kept.encode()).hexdigest()) for r in got} == want
