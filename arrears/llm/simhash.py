@@ -13,7 +13,8 @@ Similar texts lie further apart than pigeonhole blocks can reach: at a Jaccard s
 one order, two sets of that similarity share one among the first n - ceil(0.8 n) + 1 of each. A node is a set of distinct
 shingles (its 128-bit hash). The order is that of the hashes, with those found often in a sample of the texts last; any
 such choice is right, it only spares comparisons. Links to a few centres are verified first; then all pairs that
-share a prefix shingle and are not in one component yet, but those whose prefixes bound the similarity below the threshold.
+share a prefix shingle and are not in one component yet, but those that places in the order or sketches (parity bits, which
+differ in no more places than the sets) show to be below the threshold: no true pair is among these.
 
 Null or blank text: fingerprint 0, linked like any other. Fewer words than a shingle: the whole sequence is the shingle.
 Texts are read whole. Repeated rows each keep their row. A null id keeps its row and never names a component.
@@ -253,16 +254,45 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return prints.join(groups(prints, scratch, radius=radius), "fp")
 
 
+def parity_sketch(own: np.ndarray) -> bytes:
+    """Whether the number of hashes that fall on each place is odd; the places are a power of two, about four a hash."""
+    places = 1 << max(8, (4 * len(own)).bit_length())
+    odd = np.bincount((own & np.uint64(places - 1)).view(np.int64), minlength=places).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def least_apart(one: bytes, two: bytes) -> int:
+    """In how many places two sketches differ: sets differ in no fewer hashes. The longer one is folded."""
+    x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+    while len(x) != len(y):
+        if len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        else:
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def keyed_rows(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """The rows of docs, whole, as `row`, dealt by two hashes of id and text (k1, k2): written once, joined without a shuffle since."""
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    own, text = F.col("row")[id_col], F.col("row")[text_col].cast("string")
+    known = F.isnotnull(own).cast("int") + 2 * F.isnotnull(text).cast("int")
+    return scratch.bucketed(row.select(F.xxhash64(own, text, known).alias("k1"), F.xxhash64(F.lit(1), known, text, own).alias("k2"), "row"), "rows", "k1", "k2")
+
+
 def similar_groups(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, often: int = 12, most: int = 200_000,
-) -> DataFrame:
-    """doc_id, print (of the text), component of each row of docs: groups of texts linked by Jaccard similarity of word shingles.
+    scratch: Scratch | None = None, rows: DataFrame | None = None,
+) -> DataFrame:
+    """doc_id, k1, k2 (of id and text), component of each row of docs: groups of texts linked by Jaccard similarity of word shingles.
 
     A component's name is the smallest key of its shingle sets. `often`: so often in the texts' sample a shingle is put
-    last; at most `most` are.
+    last; at most `most` are. `rows`: keyed_rows of docs, if there already.
     """
-    scratch = Scratch(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    scratch = scratch or Scratch(docs.sparkSession)
+    rows = keyed_rows(docs, id_col, text_col, scratch) if rows is None else rows
+    rows = rows.select("k1", "k2", F.col("row")[id_col].alias("doc_id"), F.col("row")[text_col].cast("string").alias("text"))
+    share = similarity / (1 + similarity)  # of both sizes, which two such sets have in common at least
 
     @F.pandas_udf("array<long>")
     def distinct(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -273,32 +303,40 @@ def similar_groups(
     common = sample.groupBy("h").count().where(F.col("count") >= often).orderBy(F.desc("count"), "h").limit(most)
     last = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.h for r in common.collect()], np.int64).view(np.uint64)))
 
-    @F.pandas_udf("key binary, n int, prefix array<long>")
+    @F.pandas_udf("key binary, n int, prefix array<long>, sketch binary")
     def described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         """`prefix`: places in the order, 63 bits of each hash below zero, those of common ones from zero up."""
         from xxhash import xxh128_digest
 
+        late = np.append(last.value, np.uint64(2**64 - 1))
         for texts in batches:
             out = []
             for t in texts:
                 own = np.unique(shingle_hashes(t, width))
                 place = (own >> np.uint64(1)).view(np.int64)
-                place = np.sort(np.where(np.isin(own, last.value), place, place - 2**62 - 2**62))
-                out.append((xxh128_digest(own.tobytes()), len(own), place[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]))
-            yield pd.DataFrame(out, columns=["key", "n", "prefix"])
+                place = np.sort(np.where(late[np.searchsorted(late[:-1], own)] == own, place, place - 2**62 - 2**62))
+                prefix = place[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]
+                out.append((xxh128_digest(own.tobytes()), len(own), prefix, parity_sketch(own)))
+            yield pd.DataFrame(out, columns=["key", "n", "prefix", "sketch"])
 
-    prints = rows.select("doc_id", F.xxhash64("text").alias("print"), described(F.col("text").cast("binary")).alias("_own")).select("doc_id", "print", "_own.*")
+    prints = rows.select("k1", "k2", "doc_id", described(F.col("text").cast("binary")).alias("_own")).select("k1", "k2", "doc_id", "_own.*")
     prints = scratch.save(prints, "prints")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "print")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")
     nodes = prints.groupBy("key").agg(F.min(order).alias("o"))
-    nodes = scratch.save(nodes.select("key", F.monotonically_increasing_id().alias("rep"), "o.doc_id", "o.print"), "nodes")
-    first = nodes.select("key", "rep", F.col("doc_id").alias("_d"), F.col("print").alias("_p"))
-    sets = prints.join(first, (prints.key == first.key) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("print") == F.col("_p"))).dropDuplicates(["rep"])
-    sets = scratch.save(sets.select("rep", "n", F.size("prefix").alias("p"), F.array_max("prefix").alias("top"), "prefix"), "sets")
-    same = W.partitionBy("h")
-    salted = [F.min(F.struct(F.xxhash64("rep", F.lit(k)), "rep")).over(same)["rep"] for k in range(3)]
-    index = sets.select("rep", F.posexplode("prefix").alias("i", "h")).withColumn("reps", F.count(F.lit(1)).over(same)).withColumn("centres", F.array_distinct(F.array(*salted)))
-    index = scratch.save(index.where("reps > 1").join(sets.drop("prefix"), "rep"), "index")
+    nodes = scratch.save(nodes.select("key", F.monotonically_increasing_id().alias("rep"), "o.k1", "o.k2"), "nodes")
+    sets = prints.drop("doc_id", "key").join(nodes.select("rep", "k1", "k2"), ["k1", "k2"]).dropDuplicates(["rep"])
+    sets = scratch.save(sets.select("rep", "n", F.size("prefix").alias("p"), "prefix", "sketch"), "sets")
+    # centres are the smallest in three orders of the nodes; shingles put last may be in any number of sets, so theirs are
+    # combined before the shuffle, and the join with them can be split
+    placed = sets.select("rep", F.posexplode("prefix").alias("i", "h"))
+    flips = [0, 0x2AAAAAAAAAAAAAAA, 0x1999999999999999]
+    lows = [F.min(F.col("rep").bitwiseXOR(F.lit(x))) for x in flips]
+    centres = F.array_distinct(F.array(*[F.col(f"c{k}").bitwiseXOR(F.lit(x)) for k, x in enumerate(flips)])).alias("centres")
+    rare, same = placed.where("h < 0"), W.partitionBy("h")
+    rare = rare.select("*", F.count(F.lit(1)).over(same).alias("reps"), *[x.over(same).alias(f"c{k}") for k, x in enumerate(lows)])
+    many = placed.where("h >= 0").groupBy("h").agg(F.count(F.lit(1)).alias("reps"), *[x.alias(f"c{k}") for k, x in enumerate(lows)])
+    many = placed.where("h >= 0").join(many, "h").select(*rare.columns)
+    index = scratch.save(rare.union(many).where("reps > 1").select("rep", "i", "h", centres), "index")
 
     @F.pandas_udf("double")
     def jaccard(one: pd.Series, two: pd.Series) -> pd.Series:
@@ -315,10 +353,8 @@ def similar_groups(
             yield pd.Series([np.unique(shingle_hashes(t, width)).tobytes() for t in texts], dtype=object)
 
     def verified(found: DataFrame) -> DataFrame:
-        wanted = found.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(nodes, "rep")
-        wanted = wanted.select("rep", F.col("doc_id").alias("_d"), F.col("print").alias("_p"))
-        texts = rows.withColumn("print", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("print") == F.col("_p")))
-        texts = texts.dropDuplicates(["rep"]).select("rep", shingles(F.col("text").cast("binary")).alias("s"))
+        wanted = found.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(nodes, "rep").select("rep", "k1", "k2")
+        texts = rows.join(wanted, ["k1", "k2"]).dropDuplicates(["rep"]).select("rep", shingles(F.col("text").cast("binary")).alias("s"))
         texts = scratch.save(texts, "shingles")
         pairs = found.join(texts.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
         links = scratch.save(pairs.where(jaccard("sa", "sb") >= similarity).select("a", "b"), "links")
@@ -326,34 +362,44 @@ def similar_groups(
         return links
 
     # a few centres of each node, those it shares much with: large groups become components by few comparisons
-    near = index.select("rep", "p", F.explode("centres").alias("c")).where("rep <> c").groupBy("rep", "p", "c").count().where("count >= 0.3 * p")
+    near = index.select("rep", F.explode("centres").alias("c")).where("rep <> c").groupBy("rep", "c").count()
+    near = near.join(sets.select("rep", "p"), "rep").where("count >= 0.3 * p")
     near = near.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("count", "c")), asc=False).alias("l"))
     near = near.select(F.col("rep").alias("a"), F.explode(F.slice("l", 1, 2)).alias("x")).select("a", F.col("x.c").alias("b"))
     links = verified(scratch.save(near, "near"))
     parts = connected_components(links, scratch).withColumnRenamed("node", "rep")
-    index = index.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    index = scratch.save(index, "labelled")
+    own = sets.select("rep", "n").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    labelled = scratch.save(index.select("rep", "i", "h").join(own, "rep"), "labelled")
+    scratch.drop(index)
+    index = labelled
     mixed = index.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
-    index = index.join(mixed, "h").drop("centres")
-    one, two = (index.select("h", *[F.col(c).alias(f"{x}_{c}") for c in ("rep", "n", "p", "top", "i", "component")]) for x in "ab")
-    sized = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-6
-    pairs = one.join(two, "h").where((F.col("a_rep") < F.col("b_rep")) & (F.col("a_component") != F.col("b_component")) & sized)
-    pairs = pairs.groupBy("a_rep", "b_rep", "a_n", "b_n", "a_p", "b_p", "a_top", "b_top").agg(F.count(F.lit(1)).alias("k"), F.max("a_i").alias("a_i"), F.max("b_i").alias("b_i"))
-    # after the last shared place nothing of the prefix that ends first is shared
-    rest_a = F.col("a_n") - F.when(F.col("a_top") < F.col("b_top"), F.col("a_p")).otherwise(F.col("a_i") + 1)
-    rest_b = F.col("b_n") - F.when(F.col("b_top") < F.col("a_top"), F.col("b_p")).otherwise(F.col("b_i") + 1)
-    possible = F.col("k") + F.least(rest_a, rest_b) >= similarity / (1 + similarity) * (F.col("a_n") + F.col("b_n")) - 1e-6
-    links = links.union(verified(scratch.save(pairs.where(possible).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")), "pairs")))
+    index = index.join(mixed, "h")
+    one, two = (index.select("h", *[F.col(c).alias(f"{x}_{c}") for c in ("rep", "n", "i", "component")]) for x in "ab")
+    needed = share * (F.col("a_n") + F.col("b_n")) - 1e-6
+    first = (F.col("a_n") - F.col("a_i") >= needed) & (F.col("b_n") - F.col("b_i") >= needed)  # else this is not the first shingle they share
+    pairs = one.join(two, "h").where((F.col("a_rep") < F.col("b_rep")) & (F.col("a_component") != F.col("b_component")) & first)
+    pairs = pairs.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
+
+    @F.pandas_udf("boolean")
+    def possible(one: pd.Series, two: pd.Series, most_apart: pd.Series) -> pd.Series:
+        return pd.Series([least_apart(x, y) <= m for x, y, m in zip(one, two, most_apart, strict=True)], dtype=bool)
+
+    for x in "ab":
+        pairs = pairs.join(sets.select(F.col("rep").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_s")), x)
+    pairs = pairs.where(possible("a_s", "b_s", (1 - 2 * share) * (F.col("a_n") + F.col("b_n")) + 1e-6))
+    pairs = scratch.save(pairs.select("a", "b"), "pairs")
+    scratch.drop(labelled)
+    links = links.union(verified(pairs))
     parts = connected_components(links, scratch)
     grouped = nodes.join(parts, nodes.rep == parts.node, "left").select("key", F.coalesce("component", "rep").alias("component"))
-    return prints.join(grouped, "key").select("doc_id", "print", "component")
+    return prints.join(grouped, "key").select("doc_id", "k1", "k2", "component")
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """One row of each group of similar texts: that of the smallest id (of equal ids, one; of null ids, one if no other is there)."""
     scratch = Scratch(docs.sparkSession)
-    grouped = similar_groups(docs, id_col=id_col, text_col=text_col, **kw)
-    keep = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "print")).alias("o"))
-    keep = scratch.save(keep.select(F.col("o.doc_id").alias("_keep_id"), F.col("o.print").alias("_keep_print")), "keep")
-    out = docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_keep_print")), "left_semi")
-    return out.withColumn("_print", F.xxhash64(F.col(text_col).cast("string"))).dropDuplicates([id_col, "_print"]).drop("_print")
+    rows = keyed_rows(docs, id_col, text_col, scratch)
+    grouped = similar_groups(docs, id_col=id_col, text_col=text_col, scratch=scratch, rows=rows, **kw)
+    keep = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("o"))
+    keep = scratch.save(keep.select("o.k1", "o.k2"), "keep")
+    return rows.join(keep, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")

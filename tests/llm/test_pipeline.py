@@ -134,3 +134,23 @@ def test_every_similar_pair_of_dense_families_is_linked(spark):
         for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), often=often).collect():
             groups.setdefault(r.component, set()).add(root[r.doc_id])
         assert all(len(x) == 1 for x in groups.values()) and len(groups) == len(set(root)) > 8
+
+
+def test_clashing_columns_pass_all_filtering_stages(spark, tmp_path):
+    names = ["row", "k1", "k2", "_langid", "_kept", "_n_lines", "_print", "_keep_id", "print", "component", "key", "prefix", "rep", "gone", "lines", "_d", "_p", "h", "n"]
+    rnd = random.Random(2)
+    text = lambda: " ".join(word(rnd, "xx") for _ in range(60))
+    rows = [(i, text(), "xx", "s", 3, *names) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names))
+    spark.createDataFrame([(1, text())], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns
+        got = out.collect()
+        assert len(got) == 30 and all(list(r)[5:] == names for r in got)
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
