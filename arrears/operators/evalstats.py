@@ -153,3 +153,31 @@ def disagreements(df: DataFrame, a: str, b: str, yes: str) -> DataFrame:
 def count_accuracy(n: Column, m: Column) -> Column:
     """E22."""
     return F.when(F.greatest(n, m) > 0, F.least(n, m) / F.greatest(n, m)).otherwise(1.0)
+
+
+def spread(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Rows, least, greatest, mean, median and the commonest value (of several, the least) of each group."""
+    v = F.col(value)
+    return df.groupBy(*by).agg(
+        F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("greatest"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.mode(v, True).alias("commonest")
+    )
+
+
+def outcomes(found: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
+    """Every key of either side, once: matched, or only found, or only in the truth."""
+    both = found.select(*keys).distinct().withColumn("_f", F.lit(True)).join(truth.select(*keys).distinct().withColumn("_t", F.lit(True)), keys, "full_outer")
+    side = F.when(F.col("_f").isNull(), "missed").when(F.col("_t").isNull(), "spurious").otherwise("matched")
+    return both.select(*keys, side.alias("outcome"))
+
+
+def overlap(one, two):
+    """How much of two arrays is shared, over what either has; 0 if both are empty."""
+    either = F.size(F.array_union(one, two))
+    return F.when(either > 0, F.size(F.array_intersect(one, two)) / either).otherwise(F.lit(0.0))
+
+
+def deltas(before: DataFrame, after: DataFrame, keys: list[str], measure: str) -> DataFrame:
+    """U8: the measure before and after and its change, for every key of either; what is missing counts as 0."""
+    a, b = (x.select(*keys, F.col(measure).alias(name)) for x, name in ((before, "before"), (after, "after")))
+    both = a.join(b, keys, "full_outer").select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("before", "after")])
+    return both.withColumn("change", F.col("after") - F.col("before"))

@@ -29,9 +29,13 @@ def contains(points: DataFrame, spans: DataFrame, key: str, at: str, start: str,
     return points.join(other, (F.col(key) == F.col("_key")) & (F.col(at) >= F.col(start) - slack) & (F.col(at) <= F.col(end))).drop("_key")
 
 
-def later_uses(defs: DataFrame, uses: DataFrame, keys: list[str], def_line: str, use_line: str) -> DataFrame:
-    """Equality on keys, and the use after the definition."""
-    return defs.join(uses, keys).where(F.col(use_line) > F.col(def_line))
+def later_uses(defs: DataFrame, uses: DataFrame, keys: list[str], def_line: str, use_line: str, width: int) -> DataFrame:
+    """Equality on keys, and the use after the definition, at most `width` lines. Rows meet by buckets of that width, so a hot
+    key's definitions do not meet all of its uses."""
+    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
+    a = defs.withColumn("_b", bucket(def_line))
+    b = uses.withColumn("_b", F.explode(F.array(bucket(use_line) - 1, bucket(use_line))))
+    return a.join(b, [*keys, "_b"]).where((F.col(use_line) > F.col(def_line)) & (F.col(use_line) - F.col(def_line) <= width)).drop("_b")
 
 
 def pairs_within(df: DataFrame, key: str, ordinal: str, at: str | None = None, width: int | None = None) -> DataFrame:

@@ -45,7 +45,7 @@ def data_edges(items: DataFrame, definitions: DataFrame, uses: DataFrame, k: int
     near = lambda df, tag: joins.first_within(
         df.withColumn("_id", F.xxhash64("file", "line", "var")), items.select(F.col("file").alias("file"), F.col("line").alias("at"), "node"), "file", "_id", "line", "at", "node", 5
     ).select("file", "var", F.col("line").alias(f"{tag}_line"), F.col("node").alias(tag))
-    pairs = joins.later_uses(near(definitions, "src"), near(uses, "dst"), ["file", "var"], "src_line", "dst_line")
+    pairs = joins.later_uses(near(definitions, "src"), near(uses, "dst"), ["file", "var"], "src_line", "dst_line", 10 * k)
     pairs = pairs.withColumn("far", F.col("dst_line") - F.col("src_line")).withColumn("hops", hops_of(F.col("far"))).where(F.col("hops") <= k)
     return edge(pairs, "data", graph.edge_weight(F.lit("data"), F.col("far"), F.col("hops"), F.lit(0)), F.col("hops")).distinct()
 

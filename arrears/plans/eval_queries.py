@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from arrears.operators import evalstats as E
 from arrears.operators import joins, models, ranking, replay, sampling
@@ -85,16 +86,39 @@ def lead_time(spark, d):
 
 
 def addressed_events(spark, d):
-    """Consecutive turns of one role as before and after states of a file; its first turn's sentences are the instances."""
+    """Each turn of a role and its next one as before and after states of a file; sentences of the earlier one are the instances."""
     conv = table(spark, d, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), "role").alias("file"), "conv_id", "turn", F.explode(F.split(F.regexp_replace("text", r"[^\x00-\x7F]", "?"), r"\. ")).alias("text"))  # ASCII, as DuckDB measures bytes
-    first = conv.groupBy("file").agg(F.min("turn").alias("t0"), F.max("turn").alias("t1"))
-    both = conv.join(first, "file")
-    before, after = both.where("turn = t0").select(F.col("conv_id").alias("hash"), "file", "text"), both.where("turn = t1 and t1 > t0").select(F.col("conv_id").alias("hash"), "file", "text")
-    before = before.join(after.select("file").distinct(), "file", "left_semi")
+    turns = conv.select("file", "turn").distinct().withColumn("then", F.lead("turn").over(W.partitionBy("file").orderBy("turn"))).where("then is not null")
+    hash_of = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("hash")
+    before = conv.join(turns, ["file", "turn"]).select(hash_of, "file", "text")
+    after = conv.withColumnRenamed("turn", "then").join(turns, ["file", "then"]).select(hash_of, "file", "text")
     inst = before.select(F.md5(F.concat_ws("|", "file", "text")).alias("id"), "file", F.col("text").alias("content")).distinct()
     return replay.addressed(inst, before, after).select("hash", "id", "reason", F.round("best", 6).alias("best"))
 
 
+def quantity_spread(spark, d):
+    return E.spread(table(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("q")), "q", ["l_returnflag"]).select(
+        "l_returnflag", "n", "least", "greatest", F.round("mean", 6).alias("mean"), "median", "commonest"
+    )
+
+
+def label_outcomes(spark, d):
+    found = table(spark, d, "labels").where("quality = 1").select("doc_id")
+    truth = table(spark, d, "documents").where("lang = 'en'").select("doc_id")
+    return E.outcomes(found, truth, ["doc_id"])
+
+
+def word_overlap(spark, d):
+    words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
+    return table(spark, d, "part").select("p_partkey", F.round(E.overlap(words("p_name"), words("p_type")), 6).alias("share"))
+
+
+def event_deltas(spark, d):
+    ev = table(spark, d, "events").select("user_id", "event_type", (F.col("event_id") % 2).alias("half"))
+    counts = lambda h: ev.where(F.col("half") == h).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return E.deltas(counts(0), counts(1), ["user_id", "event_type"], "n")
+
+
 def histogram_pct(spark, d):
     return E.distribution(table(spark, d, "documents"), "lang", ["source"]).select("source", "lang", "n", F.round("pct", 6).alias("pct"))
 
@@ -168,8 +192,7 @@ def detector_rf(spark, d):
     return _scored(models.forest(20), *_labelled(spark, d))
 
 
-_F = (
-    prf1, micro_macro, cohen_kappa, spearman, kendall, kendall_ties, hit_at_k_mrr, co_removal, totals_rollup, lead_time, addressed_events, histogram_pct, stratified_sample, rating_summary, disagreements,
+_F = (quantity_spread, label_outcomes, word_overlap, event_deltas, prf1, micro_macro, cohen_kappa, spearman, kendall, kendall_ties, hit_at_k_mrr, co_removal, totals_rollup, lead_time, addressed_events, histogram_pct, stratified_sample, rating_summary, disagreements,
     greedy_match, bootstrap_ci, fisher, stream_commit_rank, word_graph, detector_lr, detector_rf,
 )
 QUERIES = {f.__name__: f for f in _F}
@@ -196,12 +219,23 @@ ORACLES = {
     "lead_time": """WITH m AS (SELECT l_partkey AS id, l_linenumber AS rank, (year(o_orderdate) * 12 + month(o_orderdate))::INT AS i FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
       s AS (SELECT id, min(i) AS seen FROM m WHERE rank <= 2 GROUP BY id), e AS (SELECT l_partkey AS id, min(year(l_shipdate) * 12 + month(l_shipdate))::INT AS done FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey)
       SELECT id, seen, done, done - seen >= 5 AS early FROM s JOIN e USING (id)""",
-    "addressed_events": r"""WITH c AS (SELECT conv_id || '/' || role AS file, conv_id AS hash, turn, unnest(string_split(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), '. ')) AS text FROM conversations),
-      f AS (SELECT file, min(turn) AS t0, max(turn) AS t1 FROM c GROUP BY file HAVING max(turn) > min(turn)),
-      b AS (SELECT DISTINCT hash, file, text FROM c JOIN f USING (file) WHERE turn = t0), a AS (SELECT DISTINCT hash, file, text FROM c JOIN f USING (file) WHERE turn = t1),
+    "addressed_events": r"""WITH c AS (SELECT conv_id || '/' || role AS file, conv_id, turn, unnest(string_split(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), '. ')) AS text FROM conversations),
+      n AS (SELECT file, turn, lead(turn) OVER (PARTITION BY file ORDER BY turn) AS later FROM (SELECT DISTINCT file, turn FROM c)),
+      b AS (SELECT DISTINCT conv_id || '/' || c.turn AS hash, c.file, c.text FROM c JOIN n ON c.file = n.file AND c.turn = n.turn WHERE later IS NOT NULL),
+      a AS (SELECT DISTINCT conv_id || '/' || n.turn AS hash, c.file, c.text FROM c JOIN n ON c.file = n.file AND c.turn = n.later),
       s AS (SELECT b.hash, md5(b.file || '|' || b.text) AS id, max(CASE WHEN substr(a.text, 1, 500) = substr(b.text, 1, 500) THEN 1.0 WHEN a.text = '' OR b.text = '' THEN 0.0
         ELSE 1 - levenshtein(substr(a.text, 1, 500), substr(b.text, 1, 500)) / greatest(length(substr(a.text, 1, 500)), length(substr(b.text, 1, 500))) END) AS best FROM b JOIN a USING (hash, file) GROUP BY ALL)
       SELECT hash, id, CASE WHEN best < 0.2 THEN 'removed' ELSE 'modified' END AS reason, round(best, 6) AS best FROM s WHERE best < 0.5""",
+    "quantity_spread": """WITH v AS (SELECT l_returnflag, l_quantity::DOUBLE AS q FROM lineitem), c AS (SELECT l_returnflag, q, count(*) AS n FROM v GROUP BY l_returnflag, q),
+      m AS (SELECT l_returnflag, q AS commonest FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, q) AS k FROM c) WHERE k = 1)
+      SELECT v.l_returnflag, count(*) AS n, min(v.q) AS least, max(v.q) AS greatest, round(avg(v.q), 6) AS mean, median(v.q) AS median, any_value(m.commonest) AS commonest
+      FROM v JOIN m ON v.l_returnflag = m.l_returnflag GROUP BY v.l_returnflag""",
+    "label_outcomes": """WITH f AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), t AS (SELECT DISTINCT doc_id FROM documents WHERE lang = 'en')
+      SELECT coalesce(f.doc_id, t.doc_id) AS doc_id, CASE WHEN f.doc_id IS NULL THEN 'missed' WHEN t.doc_id IS NULL THEN 'spurious' ELSE 'matched' END AS outcome FROM f FULL JOIN t ON f.doc_id = t.doc_id""",
+    "word_overlap": """WITH w AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS a, list_distinct(string_split(lower(p_type), ' ')) AS b FROM part)
+      SELECT p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS share FROM w""",
+    "event_deltas": """SELECT user_id, event_type, count(*) FILTER (WHERE event_id % 2 = 0) AS before, count(*) FILTER (WHERE event_id % 2 = 1) AS after,
+      count(*) FILTER (WHERE event_id % 2 = 1) - count(*) FILTER (WHERE event_id % 2 = 0) AS change FROM events GROUP BY ALL""",
     "histogram_pct": "SELECT source, lang, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY source), 6) AS pct FROM documents GROUP BY source, lang",
     "stratified_sample": "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '|42'), doc_id) AS k FROM documents) WHERE k <= 20",
     "rating_summary": "SELECT l_returnflag, count(*) AS n, round(avg(r), 6) AS mean, round(avg((r >= 4)::INT), 6) AS share_high FROM (SELECT l_returnflag, (l_quantity::INT - 1) % 5 + 1 AS r FROM lineitem) GROUP BY l_returnflag",

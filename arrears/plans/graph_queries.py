@@ -79,7 +79,7 @@ def theta_def_use(spark, d):
     ev = table(spark, d, "events").where("event_type in ('purchase', 'click')").select("event_id", "user_id", "event_type", F.floor(F.unix_timestamp("ts") / 3600).alias("line"))
     defs = ev.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("d"), F.col("line").alias("dl"))
     uses = ev.where("event_type = 'click'").select("user_id", F.col("event_id").alias("u"), F.col("line").alias("ul"))
-    pairs = joins.later_uses(defs, uses, ["user_id"], "dl", "ul").withColumn("hops", hops_of(F.col("ul") - F.col("dl"))).where("hops <= 5")
+    pairs = joins.later_uses(defs, uses, ["user_id"], "dl", "ul", 50).withColumn("hops", hops_of(F.col("ul") - F.col("dl"))).where("hops <= 5")
     return pairs.groupBy("user_id", "hops").agg(F.count(F.lit(1)).alias("n"))
 
 

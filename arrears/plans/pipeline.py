@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from arrears.functions import judge
 from arrears.functions import patterns as P
 from arrears.functions import text as X
-from arrears.operators import graph, relate, score
+from arrears.operators import graph, ranking, relate, score
 from arrears.sources.files import lines, tree
 
 
@@ -32,9 +31,8 @@ def detect(found: DataFrame, *, tau: float = P.TAU, quick: bool = True, transpar
 
 
 def numbered(items: DataFrame) -> DataFrame:
-    """node numbers by file and line; per file first, so that no task orders all rows."""
-    per = items.withColumn("_n", F.row_number().over(W.partitionBy("file").orderBy("line")))
-    return per.withColumn("node", F.xxhash64("file").bitwiseAND(F.lit(2**43 - 1)) * 1_000_000 + F.col("_n")).drop("_n")
+    """node numbers from 1 by file and line; no task orders all rows."""
+    return ranking.positions(items, [F.asc("file"), F.asc("line")], out="node")
 
 
 def analyze(spark: SparkSession, root: str, *, tau: float = P.TAU, quick: bool = True, k: int = P.MAX_HOPS, weights: tuple = P.SIR_WEIGHTS) -> dict[str, DataFrame]:

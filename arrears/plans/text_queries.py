@@ -48,7 +48,7 @@ def type_cascade(spark, d):
 
 def comment_ids(spark, d):
     file = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
-    return doc_lines(spark, d).where("line <= 3").select(X.content_id(file, F.col("line"), F.col("content")).alias("id"), X.line_id(file, F.col("line"), F.md5("content")).alias("line_id"))
+    return doc_lines(spark, d).select(X.content_id(file, F.col("line"), F.col("content")).alias("id"), X.line_id(file, F.col("line"), F.md5("content")).alias("line_id"))
 
 
 def context_window(spark, d):
@@ -94,7 +94,7 @@ ORACLES = {
     + " ".join(f"WHEN regexp_matches(content, {_re([w])}) THEN {i}" for i, w in enumerate(WORDS, 1)) + f" END AS ordinal FROM ({_L})) WHERE ordinal IS NOT NULL GROUP BY ordinal",
     "pattern_flags": f"SELECT lang, count(*) AS total, sum(e::INT)::BIGINT AS explicit, sum(i::INT)::BIGINT AS implicit, sum((e OR i)::INT)::BIGINT AS either FROM (SELECT lang, regexp_matches(text, {_re(WORDS[:2])}) AS e, regexp_matches(text, {_re(WORDS[2:5])}) AS i FROM documents) GROUP BY lang",
     "type_cascade": f"SELECT p_brand, {_case(chr(39).join(['p_name || ', ' ', ' || p_type']), PART_CLASSES, 'Other')} AS kind, count(*) AS n FROM part GROUP BY ALL",
-    "comment_ids": f"SELECT 'satd-' || substr(md5(source || '/' || doc_id || ':' || line || ':' || content), 1, 12) AS id, source || '/' || doc_id || '-' || line || '-' || substr(md5(content), 1, 7) AS line_id FROM ({_L}) WHERE line <= 3",
+    "comment_ids": f"SELECT 'satd-' || substr(md5(source || '/' || doc_id || ':' || line || ':' || content), 1, 12) AS id, source || '/' || doc_id || '-' || line || '-' || substr(md5(content), 1, 7) AS line_id FROM ({_L})",
     "context_window": f"WITH l AS ({_L}) SELECT doc_id, line, md5(c) AS context_md5, length(c) AS n FROM (SELECT doc_id, line, string_agg(content, chr(10)) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS c FROM l)",
     "tri_state_threshold": "SELECT event_type, CASE WHEN value IS NULL THEN 'unknown' WHEN value >= 50 THEN 'yes' ELSE 'no' END AS state, count(*) AS n FROM events GROUP BY ALL",
     "levenshtein_best": "SELECT a.p_partkey, round(max(CASE WHEN a.p_name = b.p_name THEN 1.0 ELSE 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) END), 6) AS best FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey GROUP BY a.p_partkey",
