@@ -127,23 +127,29 @@ def contracted(edges: DataFrame, chunk: int = 1_000_000) -> DataFrame:
     return edges.mapInArrow(stars, "a long, b long")
 
 
+def stars(edges: DataFrame) -> bool:
+    """Whether every node of `edges` (a, b) either hangs on one other or has others hanging on it: the steps change nothing then."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("e"))
+    nodes = ends.select("e.*").groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
+    return nodes.where("up > 1 or (up = 1 and least = 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, *, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of `edges` (a, b), component being the smallest node reachable.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014): each step hangs neighbours onto the smallest
     known one, O(log^2 n) rounds, never more edges than at the start. Each task replaces the edges it has by stars first, so
-    that small or chain-shaped inputs settle at once. Each round is written to the shared folder. A hub's edges meet only in
-    a join, which Spark may split, and in a min(), which is combined before the shuffle.
+    that small or chain-shaped inputs settle at once, and the rounds end when stars are left. Each round is written to the
+    shared folder. A hub's edges meet only in a join, which Spark may split, and in a min(), which is combined before the
+    shuffle.
     Empty input gives an empty result; self-loops and repeated edges count for nothing.
     """
     short = contracted if [t for _, t in edges.select("a", "b").dtypes] == ["bigint", "bigint"] else lambda x: x
     edges = short(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     edges = scratch.save(short(edges.distinct()), "edges")
-    figures = [
-        F.count("*").alias("n"), F.expr("coalesce(bit_xor(xxhash64(a, b)), 0L)").alias("h"), F.expr("coalesce(bit_xor(xxhash64(b, a)), 0L)").alias("g")
-    ]
-    last = edges.agg(*figures).first()
     for _ in range(max_rounds):
+        if stars(edges):
+            break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -156,10 +162,6 @@ def connected_components(edges: DataFrame, scratch: Scratch, *, max_rounds: int
         scratch.drop(large)
         scratch.drop(edges)
         edges = small
-        state = edges.agg(*figures).first()
-        if state == last:
-            break
-        last = state
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
