@@ -1,4 +1,4 @@
-"""Retrospective replay (§3.3, R5, R10, E13, E15) in closed form: no loop over commits."""
+"""Retrospective replay (§3.3, R5, R9, R10, E13-E15) in closed form: no loop over commits."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from arrears.functions import patterns as P
 from arrears.functions.text import similarity
+from arrears.operators.score import rank_score
 
 
 def mean_gap(commit_files: DataFrame) -> DataFrame:
@@ -41,6 +43,61 @@ def open_at(instances: DataFrame, events: DataFrame, index: str = "index") -> Da
     return instances.join(first, "id", "left")
 
 
+def replay_hits(items: DataFrame, commit_files: DataFrame, events: DataFrame, *, window: int = 50, weights: tuple[float, ...] = P.RANK_WEIGHTS) -> DataFrame:
+    """For every commit that addresses items, the first rank of one of these in each of four orders of the items still open.
+
+    items (project, id, place, file, chain, sir, effort; null chain: one of its own; null sir: 0; null effort: last by effort,
+    0 in the full order), commit_files (project, index, file; index from 0 without gaps), events (project, id, index; the first one
+    of an item counts, unknown items do not). Orders: recency (of the item's file, in the window before the commit), effort (least first), sir, full
+    (the weighted sum with the recency over its maximum, and 1 for a file of the latest commit, 0.5 if the item's chain has
+    one); without a commit before it, full is the order by sir. Ties go by place, then id. Result: project, index, strategy, first_rank.
+    Only event commits are ranked, by counting what stands before the best addressed item: one shuffle by commit, no sort.
+    """
+    own = ["project", "index"]
+    items = items.withColumn("chain", F.coalesce(F.col("chain").cast("string"), F.concat(F.lit("/"), F.col("id").cast("string"))))
+    items = items.withColumns({"sir": F.coalesce("sir", F.lit(0.0)), "file": F.col("file").cast("string")})
+    done = events.groupBy("project", "id").agg(F.min("index").alias("done"))
+    at = done.join(items.select("project", "id"), ["project", "id"], "left_semi").select("project", F.col("done").alias("index")).distinct()
+    first = F.greatest(F.col("index") - window, F.lit(0))
+    seen = at.where("index > 0").select("*", F.explode(F.sequence(first, F.col("index") - 1)).alias("at")).join(
+        commit_files.select("project", F.col("index").alias("at"), F.col("file").cast("string").alias("file")).distinct(), ["project", "at"]
+    )
+    files = seen.groupBy(*own, "file").agg(F.sum(F.col("at") - first + 1).alias("steps"), F.max((F.col("at") == F.col("index") - 1).cast("int")).alias("latest"))
+    files = files.withColumn("most", F.max("steps").over(W.partitionBy(*own)))
+    chains = items.select("project", "file", "chain").distinct().join(files.where("latest = 1"), ["project", "file"]).select(*own, "chain", F.lit(1).alias("near")).distinct()
+    live = at.join(items.join(done, ["project", "id"], "left"), "project").where("done is null or done >= index")
+    live = live.join(files, [*own, "file"], "left").join(chains, [*own, "chain"], "left")
+    fix = F.when(F.col("latest") == 1, 1.0).when(F.col("near") == 1, 0.5).otherwise(0.0)
+    full = F.when(F.col("index") == 0, F.col("sir")).otherwise(rank_score(F.col("sir"), F.col("steps") / F.col("most"), F.col("effort"), fix, weights))
+    scores = {"recency": F.coalesce("steps", F.lit(0)).cast("double"), "effort": F.coalesce(-F.col("effort"), F.lit(float("-inf"))), "sir": F.col("sir"), "full": full}
+    behind = F.struct(*[F.struct((-score).alias("score"), F.col("place"), F.col("id")).alias(name) for name, score in scores.items()])
+    live = live.select(*own, (F.coalesce(F.col("done") == F.col("index"), F.lit(False))).alias("hit"), behind.alias("key"))
+    best = {f"best_{name}": F.min(F.when(F.col("hit"), F.col(f"key.{name}"))).over(W.partitionBy(*own)) for name in scores}
+    ranks = live.withColumns(best).groupBy(*own).agg(*[(F.sum((F.col(f"key.{name}") < F.col(f"best_{name}")).cast("long")) + 1).alias(name) for name in scores])
+    return ranks.unpivot(own, list(scores), "strategy", "first_rank")
+
+
+def co_removal_control(items: DataFrame, events: DataFrame, by: str = "project", days: int = 30) -> DataFrame:
+    """The rate of co_removal over all pairs of items of different chains, exactly and without forming pairs, instead of over a sample.
+
+    items (by, id, chain), ids being unique; events (id, day), the first one counts. Pairs within `days` are counted by day: of
+    all items of a group, less those of one chain. Result: by, pairs, removed, rate (0 without pairs).
+    """
+    day = events.groupBy("id").agg(F.min("day").alias("day"))
+    rows = items.select(by, "id", F.coalesce(F.col("chain").cast("string"), F.concat(F.lit("/"), F.col("id").cast("string"))).alias("chain")).join(day, "id", "left")
+
+    def counted(keys: list[str]) -> DataFrame:
+        later = W.partitionBy(*keys).orderBy("day").rangeBetween(1, days)
+        daily = rows.groupBy(*keys, "day").agg(F.count(F.lit(1)).alias("n"))
+        daily = daily.withColumn("then", F.when(F.col("day").isNotNull(), F.coalesce(F.sum(F.when(F.col("day").isNotNull(), F.col("n"))).over(later), F.lit(0))))
+        near = F.when(F.col("day").isNotNull(), F.expr("n * (n - 1) div 2") + F.col("n") * F.col("then")).otherwise(0)
+        return daily.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(near).alias("near")).select(*keys, F.expr("n * (n - 1) div 2").alias("pairs"), "near")
+
+    within = counted([by, "chain"]).groupBy(by).agg(F.sum("pairs").alias("own_pairs"), F.sum("near").alias("own_near"))
+    both = counted([by]).join(within, by).select(by, (F.col("pairs") - F.col("own_pairs")).alias("pairs"), (F.col("near") - F.col("own_near")).alias("removed"))
+    return both.withColumn("rate", F.when(F.col("pairs") > 0, F.col("removed") / F.col("pairs")).otherwise(0.0))
+
+
 def co_removal(pairs: DataFrame, events: DataFrame, days: float = 30.0) -> DataFrame:
     """Per group, pairs (grp, a, b), how many have both ends addressed (id, day) within `days`, and the rate."""
     first = events.groupBy("id").agg(F.min("day").alias("day"))

@@ -96,6 +96,30 @@ def addressed_events(spark, d):
     return replay.addressed(inst, before, after).select("hash", "id", "reason", F.round("best", 6).alias("best"))
 
 
+def _replayed(spark, d):
+    """Parts as items of a hundred projects, orders as commits, the first return of a part as what addresses it."""
+    project = (F.col("l_partkey") % 100).alias("project")
+    li = table(spark, d, "lineitem").select(project, "l_orderkey", (F.col("l_partkey") % 3000).cast("string").alias("file"), F.col("l_partkey").alias("id"), "l_returnflag")
+    made = li.select("project", "l_orderkey").distinct().join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
+    made = made.select("project", "l_orderkey", (F.row_number().over(W.partitionBy("project").orderBy("o_orderdate", "l_orderkey")) - 1).cast("long").alias("index"))
+    li = li.join(made, ["project", "l_orderkey"])
+    items = table(spark, d, "part").select(
+        (F.col("p_partkey") % 100).alias("project"), F.col("p_partkey").alias("id"), F.col("p_partkey").alias("place"), (F.col("p_partkey") % 3000).cast("string").alias("file"),
+        F.col("p_type").alias("chain"), (F.col("p_size") / 64).alias("sir"), (F.floor(F.col("p_retailprice")) % 32 / 32).alias("effort"),
+    )
+    return items, li.select("project", "index", "file"), li.where("l_returnflag = 'R'").select("project", "id", "index")
+
+
+def replay_hits(spark, d):
+    return replay.replay_hits(*_replayed(spark, d))
+
+
+def co_removal_control(spark, d):
+    events = table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.datediff("l_shipdate", F.lit("1990-01-01").cast("date")).alias("day"))
+    items = table(spark, d, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("id"), F.col("p_type").alias("chain"))
+    return replay.co_removal_control(items, events, "grp").select("grp", "pairs", "removed", F.round("rate", 6).alias("rate"))
+
+
 def quantity_spread(spark, d):
     return E.spread(table(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("q")), "q", ["l_returnflag"]).select(
         "l_returnflag", "n", "least", "greatest", F.round("mean", 6).alias("mean"), "median", "commonest"
@@ -192,7 +216,7 @@ def detector_rf(spark, d):
     return _scored(models.forest(20), *_labelled(spark, d))
 
 
-_F = (quantity_spread, label_outcomes, word_overlap, event_deltas, prf1, micro_macro, cohen_kappa, spearman, kendall, kendall_ties, hit_at_k_mrr, co_removal, totals_rollup, lead_time, addressed_events, histogram_pct, stratified_sample, rating_summary, disagreements,
+_F = (replay_hits, co_removal_control, quantity_spread, label_outcomes, word_overlap, event_deltas, prf1, micro_macro, cohen_kappa, spearman, kendall, kendall_ties, hit_at_k_mrr, co_removal, totals_rollup, lead_time, addressed_events, histogram_pct, stratified_sample, rating_summary, disagreements,
     greedy_match, bootstrap_ci, fisher, stream_commit_rank, word_graph, detector_lr, detector_rf,
 )
 QUERIES = {f.__name__: f for f in _F}
@@ -226,6 +250,25 @@ ORACLES = {
       s AS (SELECT b.hash, md5(b.file || '|' || b.text) AS id, max(CASE WHEN substr(a.text, 1, 500) = substr(b.text, 1, 500) THEN 1.0 WHEN a.text = '' OR b.text = '' THEN 0.0
         ELSE 1 - levenshtein(substr(a.text, 1, 500), substr(b.text, 1, 500)) / greatest(length(substr(a.text, 1, 500)), length(substr(b.text, 1, 500))) END) AS best FROM b JOIN a USING (hash, file) GROUP BY ALL)
       SELECT hash, id, CASE WHEN best < 0.2 THEN 'removed' ELSE 'modified' END AS reason, round(best, 6) AS best FROM s WHERE best < 0.5""",
+    "replay_hits": """WITH o AS (SELECT DISTINCT l_partkey % 100 AS project, l_orderkey FROM lineitem),
+      c AS (SELECT project, l_orderkey, row_number() OVER (PARTITION BY project ORDER BY o_orderdate, l_orderkey) - 1 AS i FROM o JOIN orders ON o_orderkey = l_orderkey),
+      f AS (SELECT DISTINCT project, i, l_partkey % 3000 AS file FROM lineitem l JOIN c ON c.l_orderkey = l.l_orderkey AND c.project = l.l_partkey % 100),
+      e AS (SELECT project, l_partkey AS id, min(i) AS done FROM lineitem l JOIN c ON c.l_orderkey = l.l_orderkey AND c.project = l.l_partkey % 100 WHERE l_returnflag = 'R' GROUP BY ALL),
+      p AS (SELECT p_partkey % 100 AS project, p_partkey AS id, p_partkey % 3000 AS file, p_type AS chain, p_size / 64.0::DOUBLE AS sir, floor(p_retailprice) % 32 / 32.0::DOUBLE AS effort FROM part),
+      t AS (SELECT DISTINCT e.project, done AS i FROM e JOIN p ON e.project = p.project AND e.id = p.id),
+      w AS (SELECT t.project, t.i, f.file, sum(f.i - greatest(t.i - 50, 0) + 1)::DOUBLE AS steps, bool_or(f.i = t.i - 1) AS latest FROM t JOIN f ON f.project = t.project AND f.i < t.i AND f.i >= t.i - 50 GROUP BY ALL),
+      m AS (SELECT project, i, max(steps) AS most FROM w GROUP BY ALL), h AS (SELECT DISTINCT w.project, w.i, p.chain FROM w JOIN p ON w.project = p.project AND w.file = p.file WHERE latest),
+      l AS (SELECT t.project, t.i, p.id, coalesce(done = t.i, false) AS hit, coalesce(steps, 0) AS recency, -effort AS effort, sir,
+        CASE WHEN t.i = 0 THEN sir ELSE 0.4::DOUBLE * sir + 0.3::DOUBLE * coalesce(steps / most, 0) + 0.15::DOUBLE * (1 - effort) + 0.15::DOUBLE * CASE WHEN latest THEN 1.0 WHEN h.chain IS NOT NULL THEN 0.5 ELSE 0.0 END::DOUBLE END AS full_
+        FROM t JOIN p ON p.project = t.project LEFT JOIN e ON e.project = p.project AND e.id = p.id LEFT JOIN w ON w.project = t.project AND w.i = t.i AND w.file = p.file
+        LEFT JOIN m ON m.project = t.project AND m.i = t.i LEFT JOIN h ON h.project = t.project AND h.i = t.i AND h.chain = p.chain WHERE done IS NULL OR done >= t.i),
+      s AS (SELECT project, i, id, hit, unnest(['recency', 'effort', 'sir', 'full']) AS strategy, unnest([recency, effort, sir, full_]) AS score FROM l),
+      r AS (SELECT *, row_number() OVER (PARTITION BY project, i, strategy ORDER BY score DESC, id) AS rank FROM s)
+      SELECT project, i AS index, strategy, min(rank) AS first_rank FROM r WHERE hit GROUP BY ALL""",
+    "co_removal_control": """WITH f AS (SELECT l_partkey AS id, min(date_diff('day', DATE '1990-01-01', l_shipdate::DATE)) AS day FROM lineitem GROUP BY l_partkey),
+      p AS (SELECT a.p_brand AS grp, abs(x.day - y.day) <= 30 AS near FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type <> b.p_type AND a.p_partkey < b.p_partkey LEFT JOIN f x ON x.id = a.p_partkey LEFT JOIN f y ON y.id = b.p_partkey),
+      n AS (SELECT grp, count(*) AS pairs, sum(coalesce(near, false)::INT)::BIGINT AS removed FROM p GROUP BY grp)
+      SELECT grp, coalesce(pairs, 0) AS pairs, coalesce(removed, 0) AS removed, round(coalesce(removed / pairs, 0), 6) AS rate FROM (SELECT DISTINCT p_brand AS grp FROM part) LEFT JOIN n USING (grp)""",
     "quantity_spread": """WITH v AS (SELECT l_returnflag, l_quantity::DOUBLE AS q FROM lineitem), c AS (SELECT l_returnflag, q, count(*) AS n FROM v GROUP BY l_returnflag, q),
       m AS (SELECT l_returnflag, q AS commonest FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, q) AS k FROM c) WHERE k = 1)
       SELECT v.l_returnflag, count(*) AS n, min(v.q) AS least, max(v.q) AS greatest, round(avg(v.q), 6) AS mean, median(v.q) AS median, any_value(m.commonest) AS commonest
