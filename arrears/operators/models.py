@@ -116,22 +116,41 @@ def augmented(rows: DataFrame) -> DataFrame:
 
 
 def word_graph(rows: DataFrame, key: str, text: str = "text", window: int = 3) -> DataFrame:
-    """Features of each text's graph of words at most `window` - 1 places apart."""
-    words = rows.select(key, F.posexplode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("([a-z]+)"), F.lit(1))).alias("p", "w"))
+    """Features of each text's graph of words at most `window` places apart.
+
+    A word that recurs within the window has a loop, which counts as an edge and twice in its degree, but not in clustering.
+    Neighbouring words are always linked, so a text with words is one component. Triangles are found from edges that point
+    to the end of higher degree, so that a frequent word does not pair all its neighbours.
+    """
+    part_of_word = r"[\p{L}\p{N}_]"
+    found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(f"(?<!{part_of_word})([a-z]+)(?!{part_of_word})"), F.lit(1))
+    words = rows.select(key, F.posexplode(found).alias("p", "w"))
     own = W.partitionBy(key).orderBy("p")
-    near = [words.select(key, F.col("w").alias("a"), F.lead("w", d).over(own).alias("b")) for d in range(1, window)]
-    pairs = near[0]
-    for other in near[1:]:
-        pairs = pairs.union(other)
-    pairs = pairs.where("b is not null and a <> b").select(key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    degree = pairs.select(key, F.explode(F.array("a", "b")).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias("degree"))
-    nodes = words.select(key, "w").distinct().join(degree, [key, "w"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    out = nodes.groupBy(key).agg(
-        F.count(F.lit(1)).alias("nodes"), (F.sum("degree") / 2).cast("long").alias("edges"), F.avg("degree").alias("degree_mean"),
-        F.max("degree").alias("degree_max"), F.stddev_pop("degree").alias("degree_std"),
+    later = F.array_distinct(F.array_compact(F.array(*[F.lead("w", d).over(own) for d in range(1, window + 1)])))
+    pairs = words.select(key, F.col("w").alias("a"), later.alias("near")).select(key, "a", F.explode("near").alias("b"))
+    pairs = pairs.select(key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    degree = pairs.select(key, F.explode(F.array("a", "b")).alias("w"), (F.col("a") == F.col("b")).cast("int").alias("loop"))
+    degree = degree.groupBy(key, "w").agg(F.count(F.lit(1)).alias("degree"), (F.count(F.lit(1)) - F.sum("loop")).alias("others"))
+    nodes = words.groupBy(key, "w").agg(F.count(F.lit(1)).alias("times")).join(degree, [key, "w"], "left")
+
+    end = lambda c: degree.select(key, F.col("w").alias(c), F.struct("others", "w").alias(f"o_{c}"))
+    plain = pairs.where("a <> b").join(end("a"), [key, "a"]).join(end("b"), [key, "b"])
+    up = F.col("o_a") < F.col("o_b")
+    arcs = plain.select(key, F.when(up, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(up, F.col("o_b")).otherwise(F.col("o_a")).alias("t"))
+    wedges = arcs.join(arcs.select(key, "s", F.col("t").alias("u")), [key, "s"]).where(F.col("t") < F.col("u"))
+    wedges = wedges.select(key, F.col("s").alias("x"), F.col("t.w").alias("y"), F.col("u.w").alias("z"))
+    closed = wedges.join(arcs.select(key, F.col("s").alias("y"), F.col("t.w").alias("z")), [key, "y", "z"])
+    triangles = closed.select(key, F.explode(F.array("x", "y", "z")).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias("triangles"))
+
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    local = F.when(zero("others") > 1, 2 * zero("triangles") / (F.col("others") * (F.col("others") - 1))).otherwise(0.0)
+    out = nodes.join(triangles, [key, "w"], "left").groupBy(key).agg(
+        F.count(F.lit(1)).alias("nodes"), (F.sum(zero("degree")) / 2).cast("long").alias("edges"), F.avg(zero("degree")).alias("degree_mean"),
+        F.max(zero("degree")).alias("degree_max"), F.stddev_pop(zero("degree")).alias("degree_std"), F.avg(local).alias("clustering"),
+        F.lit(1).alias("components"), (F.count(F.lit(1)) / F.sum("times")).alias("coverage"),
     )
     n = F.col("nodes")
-    return out.withColumn("density", F.when(n > 1, 2 * F.col("edges") / (n * (n - 1))).otherwise(0.0))
+    return out.withColumn("clustering", F.when(n > 2, F.col("clustering")).otherwise(0.0)).withColumn("density", F.when(n > 1, 2 * F.col("edges") / (n * (n - 1))).otherwise(0.0))
 
 
 REGISTRY = {"logistic": logistic, "prompt": lambda: logistic(3), "forest": forest, "perceptron": perceptron}

@@ -195,7 +195,8 @@ def stream_commit_rank(spark, d):
 
 def word_graph(spark, d):
     g = models.word_graph(table(spark, d, "benchmark"), "item_id")
-    return g.select("item_id", "nodes", "edges", "degree_max", F.round("degree_mean", 6).alias("degree_mean"), F.round("degree_std", 6).alias("degree_std"), F.round("density", 6).alias("density"))
+    rounded = [F.round(c, 6).alias(c) for c in ("degree_mean", "degree_std", "density", "clustering", "coverage")]
+    return g.select("item_id", "nodes", "edges", "degree_max", "components", *rounded)
 
 
 def _labelled(spark, d):
@@ -284,9 +285,14 @@ ORACLES = {
     "rating_summary": "SELECT l_returnflag, count(*) AS n, round(avg(r), 6) AS mean, round(avg((r >= 4)::INT), 6) AS share_high FROM (SELECT l_returnflag, (l_quantity::INT - 1) % 5 + 1 AS r FROM lineitem) GROUP BY l_returnflag",
     "disagreements": "SELECT CASE WHEN quality = 1 THEN 'FP' ELSE 'FN' END AS kind, count(*) AS n, min(doc_id) AS first FROM labels WHERE quality <> 1 - toxic GROUP BY kind",
     "stream_commit_rank": "SELECT user_id AS author, event_type AS file, count(*) AS mods FROM events GROUP BY ALL",
-    "word_graph": r"""WITH w AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS a FROM benchmark), x AS (SELECT item_id, unnest(a) AS w, unnest(range(len(a))) AS p FROM w),
-      e AS (SELECT DISTINCT s.item_id, least(s.w, t.w) AS a, greatest(s.w, t.w) AS b FROM x s JOIN x t ON s.item_id = t.item_id AND t.p - s.p BETWEEN 1 AND 2 AND s.w <> t.w),
-      d AS (SELECT item_id, w, count(*) AS g FROM (SELECT item_id, a AS w FROM e UNION ALL SELECT item_id, b FROM e) GROUP BY ALL), n AS (SELECT DISTINCT item_id, w FROM x),
-      j AS (SELECT n.item_id, coalesce(g, 0) AS g FROM n LEFT JOIN d ON n.item_id = d.item_id AND n.w = d.w)
-      SELECT item_id, count(*) AS nodes, (sum(g) // 2)::BIGINT AS edges, max(g) AS degree_max, round(avg(g), 6) AS degree_mean, round(stddev_pop(g), 6) AS degree_std, round(CASE WHEN count(*) > 1 THEN sum(g) / (count(*) * (count(*) - 1)) ELSE 0 END, 6) AS density FROM j GROUP BY item_id""",
+    "word_graph": r"""WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda v: regexp_full_match(v, '[a-z]+')) AS a FROM benchmark),
+      x AS (SELECT item_id, unnest(a) AS w, unnest(range(len(a))) AS p FROM w),
+      e AS (SELECT DISTINCT s.item_id, least(s.w, t.w) AS a, greatest(s.w, t.w) AS b FROM x s JOIN x t ON s.item_id = t.item_id AND t.p - s.p BETWEEN 1 AND 3),
+      d AS (SELECT item_id, w, count(*) AS g FROM (SELECT item_id, a AS w FROM e UNION ALL SELECT item_id, b FROM e) GROUP BY ALL),
+      f AS (SELECT item_id, a AS w, b AS o FROM e WHERE a <> b UNION ALL SELECT item_id, b, a FROM e WHERE a <> b), k AS (SELECT item_id, w, count(*) AS k FROM f GROUP BY ALL),
+      t AS (SELECT p.item_id, p.w, count(*) AS t FROM f p JOIN f q ON p.item_id = q.item_id AND p.w = q.w AND p.o < q.o JOIN f r ON r.item_id = p.item_id AND r.w = p.o AND r.o = q.o GROUP BY ALL),
+      n AS (SELECT item_id, w, count(*) AS times FROM x GROUP BY ALL),
+      j AS (SELECT n.item_id, times, coalesce(g, 0) AS g, CASE WHEN k > 1 THEN 2 * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END AS c FROM n LEFT JOIN d USING (item_id, w) LEFT JOIN k USING (item_id, w) LEFT JOIN t USING (item_id, w))
+      SELECT item_id, count(*) AS nodes, (sum(g) // 2)::BIGINT AS edges, max(g) AS degree_max, 1 AS components, round(avg(g), 6) AS degree_mean, round(stddev_pop(g), 6) AS degree_std, round(count(*) / sum(times), 6) AS coverage,
+      round(CASE WHEN count(*) > 2 THEN avg(c) ELSE 0 END, 6) AS clustering, round(CASE WHEN count(*) > 1 THEN sum(g) / (count(*) * (count(*) - 1)) ELSE 0 END, 6) AS density FROM j GROUP BY item_id""",
 }
