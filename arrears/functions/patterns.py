@@ -15,7 +15,17 @@ IMPLICIT = [
 ]
 ALL = EXPLICIT + IMPLICIT
 
+# What the lowest detection level looks for, the levels, and languages by extension.
+CORE = ["TODO", "FIXME"]
+LEVELS = ("basic", "standard", "comprehensive")
+LANGUAGES = {
+    "typescript": ["ts", "tsx", "mts", "cts"], "javascript": ["js", "jsx", "mjs", "cjs"], "python": ["py", "pyw", "pyi", "pyc", "pyd", "pyo"],
+    "java": ["java", "jsp", "jspf", "jspx"],
+}
+GENERIC = "generic"
+
 # Regular expressions of the evaluation.
+MARKERS_RE = ["TODO", "FIXME", "HACK", "XXX", "BUG", "KLUDGE", "TEMP", "DEPRECATED"]
 EXPLICIT_RE = ["TODO", "FIXME", "HACK", "XXX", "BUG", "KLUDGE", "TRICKY", "WARNING", "NOTE", "TEMP", "TEMPORARY", "DEPRECATED"]
 IMPLICIT_RE = [
     "workaround", "quick.?fix", "dirty", "ugly", "should.?be", "need.?to", "needs?.?refactor", "cleanup", "clean.?up", "optimize", "improve",

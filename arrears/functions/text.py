@@ -43,6 +43,31 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
 
 
+def language(path: Column, languages: Mapping[str, list[str]] = P.LANGUAGES) -> Column:
+    """The language of a file's extension, or the generic one."""
+    ext, out = F.ltrim(extension(path), F.lit(".")), F.lit(P.GENERIC)
+    for name, extensions in languages.items():
+        out = F.when(ext.isin(extensions), name).otherwise(out)
+    return out
+
+
+def at_level(level: str, explicit: list[str] = P.EXPLICIT) -> list[str]:
+    """Explicit patterns of a detection level."""
+    if level not in P.LEVELS:
+        raise ValueError(f"unknown level {level!r}; known: {', '.join(P.LEVELS)}")
+    return [p for p in explicit if p in P.CORE] if level == P.LEVELS[0] else list(explicit)
+
+
+def scanned(level: str, *, implicit: bool = True, custom: Iterable[str] = ()) -> list[str]:
+    """What a scan looks for: implicit patterns by the flag alone, custom ones always."""
+    return [*at_level(level), *(P.IMPLICIT if implicit else []), *custom]
+
+
+def listed(level: str, *, implicit: bool = True, custom: Iterable[str] = ()) -> list[str]:
+    """P5: what a listing shows: implicit patterns at the highest level only, custom ones always."""
+    return [*at_level(level), *(P.IMPLICIT if implicit and level == P.LEVELS[-1] else []), *custom]
+
+
 def is_comment(text: Column, ext: Column) -> Column:
     """by extension, a marker anywhere or at the start of the stripped line."""
     line = F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
@@ -114,6 +139,21 @@ def content_id(file: Column, line: Column, content: Column) -> Column:
     return F.concat(F.lit("satd-"), F.substring(F.md5(F.concat_ws(":", file, line.cast("string"), content)), 1, 12))
 
 
+def base_name(path: Column) -> Column:
+    """what follows the last slash."""
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def folder(path: Column) -> Column:
+    """what precedes the last slash; empty if there is none."""
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+
+
+def days_between(later: Column, earlier: Column) -> Column:
+    """with fractions."""
+    return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / 86_400_000_000
+
+
 def normal_path(path: Column) -> Column:
     """slashes forward; leading dots and slashes go, as characters."""
     return F.ltrim(F.replace(path, F.lit("\\"), F.lit("/")), F.lit("./"))

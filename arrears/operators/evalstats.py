@@ -181,3 +181,37 @@ def deltas(before: DataFrame, after: DataFrame, keys: list[str], measure: str) -
     a, b = (x.select(*keys, F.col(measure).alias(name)) for x, name in ((before, "before"), (after, "after")))
     both = a.join(b, keys, "full_outer").select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("before", "after")])
     return both.withColumn("change", F.col("after") - F.col("before"))
+
+
+def agreement_cells(df: DataFrame, a: Column, b: Column, by: list[str]) -> DataFrame:
+    """Of each group, how often each of two annotators said yes, the four cells, and the observed agreement to four places."""
+    n = lambda c, name: F.sum(F.when(c, 1).otherwise(0)).alias(name)
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), n(a, "a_yes"), n(b, "b_yes"), n(a & b, "both_yes"), n(~a & ~b, "both_no"), n(a & ~b, "only_a"), n(~a & b, "only_b"),
+        F.round(F.avg((a == b).cast("double")), 4).alias("observed"),
+    )
+
+
+def consensus(df: DataFrame, predicted: str, agreed: str) -> DataFrame:
+    """Both labels stripped and in lower case, nulls empty, and whether they match."""
+    plain = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))).alias(c)
+    rest = [c for c in df.columns if c not in (predicted, agreed)]
+    return df.select(*rest, plain(predicted), plain(agreed)).withColumn("match", F.col(predicted) == F.col(agreed))
+
+
+def truth_stats(df: DataFrame, label: str, kind: str) -> DataFrame:
+    """Rows, positive rows and their share, for all and by kind (null kind: all)."""
+    return df.cube(kind).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("positive"), F.avg(F.col(label).cast("double")).alias("share"), F.grouping(kind).alias("all"))
+
+
+def matching(found: DataFrame, truth: DataFrame, key: str, at: str, ordinal: str, kind: str, width: int = 5) -> DataFrame:
+    """Matched, only found and only true rows and their scores by kind; a detection meets truths of its own kind."""
+    from arrears.operators.joins import greedy_match
+
+    own = lambda df: df.select(F.concat_ws("\u0001", kind, F.col(key).cast("string")).alias("_own"), F.col(at), F.col(ordinal), F.col(kind))
+    met = greedy_match(own(found), own(truth), "_own", at, ordinal, width)
+    met = met.select(F.split("_own", "\u0001")[0].alias(kind)).groupBy(kind).agg(F.count(F.lit(1)).alias("tp"))
+    n = lambda df, name: df.groupBy(kind).agg(F.count(F.lit(1)).alias(name))
+    c = n(found, "found").join(n(truth, "true"), kind, "full_outer").join(met, kind, "left").select(kind, *[F.coalesce(x, F.lit(0)).alias(x) for x in ("found", "true", "tp")])
+    c = c.select(kind, "tp", (F.col("found") - F.col("tp")).alias("fp"), (F.col("true") - F.col("tp")).alias("fn"))
+    return c.select("*", *prf(F.col("tp"), F.col("fp"), F.col("fn")))

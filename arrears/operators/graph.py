@@ -206,3 +206,31 @@ def common_chains(edges: DataFrame, member: DataFrame) -> DataFrame:
     """Edges with the chain that both ends lie in."""
     a, b = member.select(F.col("node").alias("src"), F.col("component").alias("chain")), member.select(F.col("node").alias("dst"), F.col("component").alias("other"))
     return edges.join(a, "src").join(b, "dst").where("chain = other").drop("other")
+
+
+def chain_totals(edges: DataFrame, member: DataFrame) -> DataFrame:
+    """Edges and their total weight of each chain, over edges with both ends in it."""
+    return common_chains(edges, member).groupBy("chain").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("total_weight"))
+
+
+def chain_files(member: DataFrame, items: DataFrame) -> DataFrame:
+    """The distinct files of each chain's items (node, file), sorted."""
+    return member.join(items.select("node", "file"), "node").groupBy("component").agg(F.array_sort(F.collect_set("file")).alias("files"), F.count(F.lit(1)).alias("length"))
+
+
+def mean_length(chain: DataFrame) -> DataFrame:
+    """Chains and their mean length to two places; 0 for none."""
+    return chain.agg(F.count(F.lit(1)).alias("chains"), F.coalesce(F.round(F.avg("length"), 2), F.lit(0.0)).alias("mean_length"))
+
+
+def described(edges: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+    """Edges with the named columns of both ends, as src_* and dst_*; edges with an unknown end go."""
+    end = lambda side: nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns])
+    return edges.join(end("src"), "src").join(end("dst"), "dst")
+
+
+def outgoing(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Every node with its out-edges, sorted; none: an empty array."""
+    own = edges.groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_list(F.struct("dst", "type"))).alias("out"))
+    empty = F.array().cast("array<struct<dst: bigint, type: string>>")
+    return nodes.join(own.withColumn("out", F.col("out").cast("array<struct<dst: bigint, type: string>>")), "node", "left").withColumn("out", F.coalesce("out", empty))
