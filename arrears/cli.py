@@ -10,7 +10,7 @@ from arrears.functions import patterns as P
 from arrears.operators import graph, relate
 from arrears.plans import pipeline
 from arrears.sources import sinks
-from arrears.sources.files import tree
+from arrears.sources.files import commits, tree
 
 
 def parser() -> argparse.ArgumentParser:
@@ -23,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("-o", "--output", required=True)
         p.add_argument("-t", "--threshold", type=float, default=P.TAU)
         p.add_argument("--quick", action="store_true")
+        p.add_argument("-c", "--commits", help="a JSON table of commits: hash, author, email, ts, message, files")
         p.add_argument("-k", "--hops", type=int, default=P.MAX_HOPS)
         for flag, w in zip(("alpha", "beta", "gamma"), P.SIR_WEIGHTS, strict=True):
             p.add_argument(f"-{flag[0]}", f"--{flag}", type=float, default=w)
@@ -45,7 +46,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         edges = spark.read.parquet(f"{a.input}/edges")
         graph.sir(edges, weights=(a.alpha, a.beta, a.gamma), max_path_hops=a.hops).write.mode("overwrite").parquet(f"{a.output}/scores")
     elif a.command == "analyze":
-        for name, df in pipeline.analyze(spark, a.repo, tau=a.threshold, quick=a.quick, k=a.hops, weights=(a.alpha, a.beta, a.gamma)).items():
+        known = commits(spark, a.commits) if a.commits else None
+        for name, df in pipeline.analyze(spark, a.repo, tau=a.threshold, quick=a.quick, k=a.hops, weights=(a.alpha, a.beta, a.gamma), commits=known).items():
             df.write.mode("overwrite").parquet(f"{a.output}/{name}")
     else:
         items = spark.read.parquet(f"{a.input}/items")

@@ -50,6 +50,18 @@ def data_edges(items: DataFrame, definitions: DataFrame, uses: DataFrame, k: int
     return edge(pairs, "data", graph.edge_weight(F.lit("data"), F.col("far"), F.col("hops"), F.lit(0)), F.col("hops")).distinct()
 
 
+def script_data_edges(items: DataFrame, names: DataFrame, k: int = P.MAX_HOPS) -> DataFrame:
+    """Of each name in a script the last place near an item that sets it, to every other use near an item, before or after, at most k hops away."""
+    spots = items.select("file", F.col("line").alias("item_line"), "node")
+    near = joins.first_within(names.withColumn("_id", F.xxhash64("file", "at")), spots, "file", "_id", "line", "item_line", "node", 5)
+    near = near.select("file", "var", "line", "at", "target", "node")
+    last = joins.last_definition(near.where("target").select("file", "var", "line", "at", "node"), ["file", "var"], "at")
+    last = last.select("file", "var", F.col("line").alias("def_line"), F.col("node").alias("src"))
+    uses = near.where("not target").select("file", "var", "line", F.col("node").alias("dst")).distinct()
+    pairs = uses.join(last, ["file", "var"]).withColumn("far", F.abs(F.col("line") - F.col("def_line"))).withColumn("hops", hops_of(F.col("far"))).where(F.col("hops") <= k)
+    return edge(pairs, "data", graph.edge_weight(F.lit("data"), F.col("far"), F.col("hops"), F.lit(0)), F.col("hops")).distinct()
+
+
 def control_edges(items: DataFrame, controls: DataFrame, k: int = P.MAX_HOPS) -> DataFrame:
     """An item at a control node's head (three lines) to the items within its span."""
     heads = joins.first_within(controls.withColumn("_id", F.xxhash64("file", "start", "kind")), items.select("file", F.col("line").alias("at"), "node"), "file", "_id", "start", "at", "node", 3)
@@ -72,6 +84,13 @@ def dependencies(imports: DataFrame, files: DataFrame) -> DataFrame:
     return found.select(F.col("file").alias("src"), F.col("target").alias("dst")).where("src <> dst").distinct()
 
 
+def script_dependencies(imports: DataFrame, items: DataFrame) -> DataFrame:
+    """Scripts and the files with items that they import by a relative path."""
+    known = items.select(F.col("file").alias("target")).distinct()
+    found = joins.first_existing(structure.js_module_candidates(imports), known, ["file", "module"], "target", "ordinal")
+    return found.select(F.col("file").alias("src"), F.col("target").alias("dst")).where("src <> dst").distinct()
+
+
 def coupling(rows: DataFrame) -> DataFrame:
     """One row of dynamic base weights by type, from counts over all lines."""
     has = lambda p: F.sum(F.col("content").rlike(p).cast("int"))
@@ -98,5 +117,7 @@ def discover(files: DataFrame, items: DataFrame, *, k: int = P.MAX_HOPS, strict:
     out = call_edges(items, structure.python_functions(rows), imports)
     out = out.union(call_edges(items, structure.js_functions(script)))
     out = out.union(data_edges(items, structure.python_definitions(rows), structure.python_uses(rows), k))
+    out = out.union(script_data_edges(items, structure.js_names(script), k))
     out = out.union(control_edges(items, structure.python_controls(rows, strict=strict).union(structure.js_controls(script)), k))
-    return out.union(module_edges(items, dependencies(imports, files), k))
+    depends = dependencies(imports, files).union(script_dependencies(structure.js_imports(script), items)).distinct()
+    return out.union(module_edges(items, depends, k))

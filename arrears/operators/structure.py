@@ -162,10 +162,28 @@ def js_controls(files: DataFrame) -> DataFrame:
     return _by_file(files, read, "file string, kind string, start long, end long, depth long")
 
 
-def js_definitions(files: DataFrame) -> DataFrame:
-    """File, line, var of declarations."""
-    rows = lines(files, "text", "file")
-    return rows.select("file", "line", F.explode(F.regexp_extract_all("content", F.lit(r"\b(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)"), F.lit(1))).alias("var"))
+# Words that are no identifiers.
+JS_KEYWORDS = [
+    "await", "break", "case", "catch", "class", "const", "continue", "debugger", "default", "delete", "do", "else", "enum", "export", "extends", "false", "finally", "for",
+    "function", "if", "import", "in", "instanceof", "let", "new", "null", "return", "super", "switch", "this", "throw", "true", "try", "typeof", "var", "void", "while", "with", "yield",
+]
+
+
+def js_names(files: DataFrame) -> DataFrame:
+    """File, line, at (place in the text), var, target: identifiers, and whether each is what a declaration or an assignment sets."""
+
+    def read(text: str):
+        code, words = blank_js(text), set(JS_KEYWORDS)
+        line, seen = 1, 0
+        for m in re.finditer(r"(?<![\w$])[A-Za-z_$][\w$]*", code):
+            line, seen = line + code.count("\n", seen, m.start()), m.start()
+            if m[0] not in words:
+                declared = re.search(r"(?<![\w$])(?:const|let|var)\s+$", code[max(0, m.start() - 40) : m.start()])
+                assigned = re.match(r"\s*(?:\*\*|<<|>>>?|&&|\|\||\?\?|[-+*/%&|^])?=(?![=>])", code[m.end() : m.end() + 40])
+                member = code[m.start() - 1 : m.start()] == "."
+                yield line, m.start(), m[0], bool(declared or assigned and not member)
+
+    return _by_file(files, read, "file string, line long, at long, var string, target boolean")
 
 
 def js_imports(files: DataFrame) -> DataFrame:
@@ -194,3 +212,15 @@ def comments(files: DataFrame) -> DataFrame:
     schema = "file string, line long, content string, is_multi_line boolean"
     python = F.col("file").rlike(r"\.pyx?$")
     return _by_file(files.where(python), read_of(True), schema).union(_by_file(files.where(~python), read_of(False), schema))
+
+
+def js_module_candidates(imports: DataFrame) -> DataFrame:
+    """For each relative import the paths it may mean, in order: the path with each extension and as it is, then its index files."""
+    base = F.regexp_extract("file", "^(.*/)[^/]*$", 1)
+    step = lambda acc, x: (
+        F.when(x.isin("", "."), acc).when((x == "..") & (F.size(acc) > 0), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
+    )
+    path = F.array_join(F.aggregate(F.split(F.concat(base, F.col("module")), "/"), F.array().cast("array<string>"), step), "/")
+    script = [".js", ".jsx", ".ts", ".tsx"]
+    ways = F.array(*[F.concat(path, F.lit(e)) for e in [*script, "", *[f"/index{e}" for e in script]]])
+    return imports.select("file", "module", F.posexplode(ways).alias("ordinal", "target"))
