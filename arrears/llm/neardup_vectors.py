@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from arrears.llm._common import Scratch, connected_components
 
 THRESHOLD, CELL_GOAL, TILE_ROWS = 0.93, 2048, 1024
+PLACED_VALUES = 2_000_000  # numbers of copied vectors held at once
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -123,15 +124,18 @@ def near_duplicates(
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
-                for lo in range(0, part.num_rows, 4096):
-                    piece = part.slice(lo, 4096)
+                rows = max(1, min(4096, PLACED_VALUES // int(dim)))
+                for lo in range(0, part.num_rows, rows):
+                    piece = part.slice(lo, rows)
                     x = unit(matrix(piece.column("v")))
                     own, near = cells(x, shared.value[int(dim)], margin)
                     row, cell = np.nonzero(near)
-                    offsets = pa.array(np.arange(0, (len(row) + 1) * dim, dim, dtype=np.int32))
-                    took = piece.take(pa.array(row))
-                    cols = [took.column("label"), took.column("dim"), pa.array(cell.astype(np.int32)), took.column("rep"), took.column("mult"), pa.array(own[row] == cell)]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(offsets, pa.array(x[row].reshape(-1)))], schema=placed_schema)
+                    for at in range(0, len(row), rows):  # copies leave in batches of the same bound, however many cells are near
+                        r, c = row[at : at + rows], cell[at : at + rows]
+                        offsets = pa.array(np.arange(0, (len(r) + 1) * int(dim), int(dim), dtype=np.int32))
+                        took = piece.take(pa.array(r))
+                        cols = [took.column("label"), took.column("dim"), pa.array(c.astype(np.int32)), took.column("rep"), took.column("mult"), pa.array(own[r] == c)]
+                        yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(offsets, pa.array(x[r].reshape(-1)))], schema=placed_schema)
 
     placed = nodes.where("rep is not null").select("label", "dim", "rep", "mult", "v").mapInArrow(place, placed_ddl)
     placed = scratch.save(placed, "placed")

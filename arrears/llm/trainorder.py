@@ -6,7 +6,8 @@ joined or sorted for them; the one shuffle takes compressed pieces to their shar
 cycle until it falls inside them, gives each sequence its slot: a permutation that any worker computes for itself.
 Slots are range-partitioned by shard; a task writes each of its shards as one file of `slots_per_shard` records of equal
 stride, under another name until it is whole, so a lost executor's shard is written anew and a resumed run skips those
-that are there; names hold a digest of the line, so that only shards of the same ids in the same order are taken up. A training job reads slot s at byte (s mod slots_per_shard) x stride of its shard, in order.
+that are there; names hold a digest of the line, so that only shards of the same ids in the same order are taken up. A training job reads slot s at byte (s mod slots_per_shard) x stride of its shard, in order; `read`
+starts at any slot.
 
 Null or blank text: the end id alone. Repeated rows and null ids each keep their ids; texts of any
 length are cut like others. No rows: no shards.
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arrears.llm import tokens
@@ -156,6 +157,39 @@ def materialise(
     return index, layout
 
 
+def read(spark: SparkSession, layout: dict, from_slot: int = 0, to_slot: int | None = None, *, batch_values: int = 1_000_000) -> DataFrame:
+    """slot, sequence_id, ids of the slots from `from_slot` until before `to_slot` (none: the end), in order: a task a shard, in order of
+    shards, each seeks its first slot and reads on from there, so that a run stopped at slot s goes on with from_slot = s."""
+    count, length, per = layout["sequences"], layout["length"], layout["slots_per_shard"]
+    folder, digest, key, path, by_word = (layout[k] for k in ("folder", "digest", "key", "tokenizer", "by_word"))
+    stop = count if to_slot is None else min(to_slot, count)
+    if from_slot < 0:
+        raise ValueError("slots count from 0")
+    schema = pa.schema([("slot", pa.int64()), ("sequence_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    step = max(1, batch_values // length)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, kind = tokens.encoder(path, by_word)
+        fs, root = open_fs(folder)
+        for batch in batches:
+            for shard in batch.column("id").to_pylist():
+                slots = range(max(from_slot, shard * per), min(stop, (shard + 1) * per))
+                if not slots:
+                    continue
+                with fs.open_input_file(shard_path(root, digest, shard)) as source:
+                    source.seek((slots.start - shard * per) * length * kind.itemsize)
+                    for lo in range(slots.start, slots.stop, step):
+                        own = np.arange(lo, min(lo + step, slots.stop))
+                        ids = np.frombuffer(source.read(len(own) * length * kind.itemsize), kind)
+                        if len(ids) != len(own) * length:
+                            raise ValueError(f"shard {shard} ends before slot {own[-1]}")
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(ids) + 1, length, dtype=np.int32)), pa.array(ids.astype(np.int32)))
+                        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(permute(own, count, key, inverse=True)), lists], schema=schema)
+
+    first, last = from_slot // per, max(from_slot // per, -(-stop // per))
+    return spark.range(first, last, 1, max(1, min(last - first, 100_000))).mapInArrow(scan, "slot long, sequence_id long, ids array<int>")
+
+
 def read_back(index: DataFrame, layout: dict) -> DataFrame:
     """The index and, from the shards' bytes, read in order, each piece's ids_crc32 (over little-endian 32-bit ids)."""
     folder, digest, length, per, path, by_word = (layout[k] for k in ("folder", "digest", "length", "slots_per_shard", "tokenizer", "by_word"))

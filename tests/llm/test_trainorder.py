@@ -32,6 +32,13 @@ def test_shards_hold_all_ids_and_resume(spark, tmp_path):
     order = trainorder.permute(np.arange(len(every)), len(every), "training-order")
     assert every[order].reshape(-1)[: len(line)].tolist() == line and not every[order].reshape(-1)[len(line) :].any()
     crc = {(r.slot, r.offset): r.ids_crc32 for r in trainorder.read_back(index, layout).collect()}
+    n = len(every)
+    for start, stop in ((0, None), (7, None), (10, None), (n - 1, None), (n, None), (n + 25, None), (5, 12), (3, 3)):
+        got = trainorder.read(spark, layout, start, stop, batch_values=200).collect()
+        assert [r.slot for r in got] == list(range(start, n if stop is None else stop)) and [list(r.ids) for r in got] == every[start:stop].tolist()
+        assert all(order[r.sequence_id] == r.slot for r in got)
+    with pytest.raises(ValueError, match="slots"):
+        trainorder.read(spark, layout, -1)
     before = [p.stat().st_mtime_ns for p in files]
     files[1].unlink()
     index, layout = trainorder.materialise(docs, f"file://{tmp_path}/out", **kw)

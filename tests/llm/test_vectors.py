@@ -45,6 +45,14 @@ def test_matches_brute_force(spark, kw):
     assert got == brute(rows)
 
 
+def test_copies_leave_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(nv, "PLACED_VALUES", 30)
+    df = spark.createDataFrame(data(), "vec_id long, embedding array<float>, label int")
+    few = sorted(map(tuple, nv.near_duplicates(df, cell_goal=4).collect()))
+    monkeypatch.undo()
+    assert few == sorted(map(tuple, nv.near_duplicates(df, cell_goal=4).collect()))
+
+
 def test_small_margin_keeps_most_links(spark):
     df = spark.createDataFrame(data(16, 60), "vec_id long, embedding array<double>, label int")
     whole, fast = (sum(r.n_links for r in nv.near_duplicates(df, cell_goal=40, margin=m).collect()) for m in (None, 0.1))
