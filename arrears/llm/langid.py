@@ -6,8 +6,9 @@ one search unless its n-gram is new, which then backs off by the stored weight o
 lowest cross-entropy a character wins; a text is rejected if its cross-entropy lies further above what that language's
 texts have than `reject_z` deviations, with the spread a text of its length has.
 
-Training reads a bounded sample: `chars_per_language` characters in expectation (default 1,500,000) of whole texts, at
-most `max_train_chars` each, drawn by a hash of the id; a fifth of it only calibrates. The model is a few MB, whatever
+Training reads a bounded sample: `chars_per_language` characters in expectation (default 1,500,000, and of all languages
+together at most `max_chars`, so that many labels mean fewer characters each) of whole texts, at most `max_train_chars`
+each, drawn by a hash of the id; a fifth of it only calibrates. The model is a few MB, whatever
 the corpus, which bounds what is broadcast.
 
 Null text, or text without a letter: `und`, score 0, rejected. One language only: score 1. No rows to learn from: every
@@ -304,7 +305,7 @@ def predict(model: Model, texts: list[str | None]) -> pd.DataFrame:
 
 def fit(
     labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER,
-    chars_per_language: int = 1_500_000, max_train_chars: int = 100_000, reject_z: float = 8.0,
+    chars_per_language: int = 1_500_000, max_train_chars: int = 100_000, max_chars: int = 60_000_000, reject_z: float = 8.0,
 ) -> Model:
     """Learns from `labelled`; only the bounded sample named above reaches the driver."""
     rows = labelled.select(
@@ -315,7 +316,8 @@ def fit(
     langs = sorted(sizes)
     if not langs:
         return Model([], order, [], [], [], [], np.zeros(0))
-    share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, chars_per_language / sizes[k]))])
+    each = min(chars_per_language, max_chars / len(langs))
+    share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, each / sizes[k]))])
     drawn = rows.where((F.col("h").cast("double") / F.lit(2.0**64) + 0.5) <= share[F.col("l")])
     got = [(r.l, r.h, r.t) for r in drawn.select("l", "h", "t").collect()]
     got.sort()

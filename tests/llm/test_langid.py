@@ -53,6 +53,70 @@ def test_probabilities_sum_to_one_and_batches_do_not_matter():
     assert np.allclose(one, np.concatenate([langid.entropies(model, [t])[0] for t in flat]))
 
 
+def plain_signs(text):
+    out = []
+    for c in text:
+        c = (c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " "
+        if c != " " or out and out[-1] != " ":
+            out.append(c)
+    return ["^"] * (langid.ORDER - 1) + out  # the blanks before a text count as blanks
+
+
+def plain_kneser_ney(texts, vocabulary):
+    """Interpolated Kneser-Ney in dictionaries: a function from a context and a sign to the sign's probability."""
+    order, counts = langid.ORDER, [{} for _ in range(langid.ORDER + 1)]
+    for t in texts:
+        own = [" " if c == "^" else c for c in plain_signs(t)]
+        for i in range(order - 1, len(own)):
+            gram = tuple(own[i - order + 1 : i + 1])
+            counts[order][gram] = counts[order].get(gram, 0) + 1
+    for n in range(order - 1, 0, -1):
+        for gram in counts[n + 1]:
+            counts[n][gram[1:]] = counts[n].get(gram[1:], 0) + 1
+    cut = [0] * (order + 1)
+    for n in range(1, order + 1):
+        once, twice = (sum(c == k for c in counts[n].values()) for k in (1, 2))
+        cut[n] = once / (once + 2 * twice) if once and twice else 0.5
+
+    def chance(context, sign):
+        n = len(context) + 1
+        lower = chance(context[1:], sign) if context else 1 / vocabulary
+        after = [c for g, c in counts[n].items() if g[:-1] == context]
+        if not after:
+            return lower
+        return max(counts[n].get((*context, sign), 0) - cut[n], 0) / sum(after) + cut[n] * len(after) / sum(after) * lower
+
+    return chance
+
+
+def test_equals_plain_kneser_ney():
+    rnd = random.Random(4)
+    texts = [[text(rnd, k, rnd.randrange(1, 9)) for _ in range(12)] for k in SOUNDS]
+    texts[0] += ["", " 12 ", "a", "É--x  y."]
+    model = langid.train(texts, list(SOUNDS))
+    signs = {c if c != "^" else " " for own in texts for t in own for c in plain_signs(t)[langid.ORDER - 1 :]}
+    chances = [plain_kneser_ney(own, len(signs) + 1) for own in texts]
+    new = [text(rnd, "bb", 6), "É new; word 7 with ñ", "日本", "x"]
+    got = langid.entropies(model, new)[0]
+    for i, t in enumerate(new):
+        own = [" " if c == "^" else c for c in plain_signs(t)]
+        for j, chance in enumerate(chances):
+            logs = [np.log(chance(tuple(own[k - langid.ORDER + 1 : k]), own[k])) for k in range(langid.ORDER - 1, len(own))]
+            assert abs(np.mean(logs) - got[i][j]) < 1e-5
+
+
+def test_many_labels_share_the_sample(spark):
+    rnd = random.Random(3)
+    docs = spark.createDataFrame([(i, text(rnd, "aa", 60), f"l{i % 50}") for i in range(400)], "doc_id long, text string, lang string")
+    read = []
+    langid_train, langid.train = langid.train, lambda texts, *a: read.append(sum(len(t) for own in texts for t in own)) or langid_train(texts, *a)
+    try:
+        langid.fit(docs, max_chars=20_000)
+    finally:
+        langid.train = langid_train
+    assert 4_000 < read[0] < 40_000
+
+
 def test_nothing_to_learn_from(spark, tmp_path):
     spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [(r.lang_pred, r.score) for r in q01.op1_langid(spark, str(tmp_path)).collect()] == [("und", 0.0)]
