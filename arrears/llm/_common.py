@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 
@@ -15,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of queries that are done go now: Spark removes them once the driver holds their plans no more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as this Python worker; functions sent by value have no module state of their own."""
     return sys.modules.setdefault("_arrears_worker_cache", types.ModuleType("_arrears_worker_cache")).__dict__

@@ -53,6 +53,25 @@ def test_copies_leave_in_bounded_batches(spark, monkeypatch):
     assert few == sorted(map(tuple, nv.near_duplicates(df, cell_goal=4).collect()))
 
 
+def test_copies_are_made_in_rounds(spark, monkeypatch):
+    """Without clusters all cells are near: no table grows with their number, rounds and slices look at each pair once, and results stay whole."""
+    rnd, saved, save = np.random.default_rng(4), [], nv.Scratch.save
+    rows = [(i, [float(x) for x in np.float32(rnd.standard_normal(16))], 1) for i in range(400)]
+    rows += [(400 + i, [float(np.float32(x + 0.2 * rnd.standard_normal())) for x in rows[i // 3][1]], 1) for i in range(200)]
+
+    def counted(self, df, name, **kw):
+        out = save(self, df, name, **kw)
+        saved.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(nv.Scratch, "save", counted)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted(map(tuple, nv.near_duplicates(df, cell_goal=20, tile_rows=120, round_values=16 * 600).collect()))
+    assert got == brute(rows)
+    assert max(n for _, n in saved) <= len(rows)
+    assert sum(name == "met" for name, _ in saved) >= 3
+
+
 def test_small_margin_keeps_most_links(spark):
     df = spark.createDataFrame(data(16, 60), "vec_id long, embedding array<double>, label int")
     whole, fast = (sum(r.n_links for r in nv.near_duplicates(df, cell_goal=40, margin=m).collect()) for m in (None, 0.1))
