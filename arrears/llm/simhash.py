@@ -8,13 +8,15 @@ planes; a block of queries updates all its distances plane by plane with carry-s
 counter is beyond the radius. A bucket passes on the edges of a spanning forest, never all pairs, and one of over
 `tile_rows` fingerprints is cut into pieces that meet pair by pair in separate tasks.
 
-Similar texts lie further apart than pigeonhole blocks can reach: at a Jaccard similarity of 0.8 two fingerprints differ in
-9.7 bits on average. `similar_groups` therefore takes no fingerprints but prefixes, which lose no pair: with all shingles in
-one order, two sets of that similarity share one among the first n - ceil(0.8 n) + 1 of each. A node is a set of distinct
-shingles (its 128-bit hash). The order is that of the hashes, with those found often in a sample of the texts last; any
-such choice is right, it only spares comparisons. Links to a few centres are verified first; then all pairs that
-share a prefix shingle and are not in one component yet, but those that places in the order or sketches (parity bits, which
-differ in no more places than the sets) show to be below the threshold: no true pair is among these.
+`similar_groups` takes the same fingerprints and buckets: a spanning forest of the links within the radius, each link then
+verified by the Jaccard similarity of the shingle sets, as unlike texts can have one fingerprint. Similar texts may also lie
+further apart than pigeonhole blocks can reach: at a similarity of 0.8 two fingerprints differ in 9.7 bits on average. An
+exact pass over prefixes therefore follows and loses no pair: with all shingles in one order, two sets of that similarity
+share one among the first n - ceil(0.8 n) + 1 of each. A node is a set of distinct shingles (its 128-bit hash). The order is
+that of the hashes, with those found often in a sample of the texts last; any such choice is right, it only spares
+comparisons. With the fingerprints' links those to a few centres are verified; then all pairs that share a prefix shingle
+and are not in one component yet, but those that places in the order or sketches (parity bits, which differ in no more
+places than the sets) show to be below the threshold: no true pair is among these.
 
 Null or blank text: fingerprint 0, linked like any other. Fewer words than a shingle: the whole sequence is the shingle.
 Texts are read whole. Repeated rows each keep their row. A null id keeps its row and never names a component.
@@ -24,7 +26,7 @@ No rows: no rows.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from arrears.llm._common import Scratch, connected_components
+from arrears.llm._common import Scratch, connected_components, forget_shuffles
 
 SEED = 42
 BUCKET_GOAL = 4096
@@ -79,11 +81,12 @@ def majority(hashes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def fingerprint_all(texts: list[bytes | None], width: int) -> np.ndarray:
+def majorities(hashes: Iterable[np.ndarray]) -> np.ndarray:
+    """As majority, a bounded number of hashes at a time."""
     parts, own, size = [], [], 0
-    for t in texts:
-        own.append(shingle_hashes(t, width))
-        size += len(own[-1])
+    for h in hashes:
+        own.append(h)
+        size += len(h)
         if size > 200_000:
             parts.append(majority(own))
             own, size = [], 0
@@ -96,7 +99,7 @@ def with_fingerprints(docs: DataFrame, *, text_col: str = "text", width: int = 4
     @F.pandas_udf("long")
     def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(fingerprint_all(texts.tolist(), width).view(np.int64))
+            yield pd.Series(majorities(shingle_hashes(t, width) for t in texts).view(np.int64))
 
     return docs.withColumn(out, fingerprint(F.col(text_col).cast("binary")))
 
@@ -169,6 +172,18 @@ def forest(fps: np.ndarray, radius: int, ends: np.ndarray | None = None) -> np.n
     return label
 
 
+def spanning(fps: np.ndarray, radius: int, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ends of links, each within the radius, that join what all such links join."""
+    label, one, two = np.arange(len(fps)), [], []
+    for i, found in close_pairs(fps, radius, ends):
+        own, first = np.unique(label[found], return_index=True)
+        if len(new := np.flatnonzero(own != label[i])):
+            one += [i] * len(new)
+            two += found[first[new]].tolist()
+            label[np.isin(label, own[new])] = label[i]
+    return np.array(one, np.int64), np.array(two, np.int64)
+
+
 def scheme(nodes: int, radius: int) -> list[int]:
     """Masks of the bits that a bucket's fingerprints share; two within the radius share one bucket at least."""
     for c in range(1, 5):
@@ -197,8 +212,8 @@ def buckets(nodes: DataFrame, masks: list[int], tile_rows: int) -> DataFrame:
     return rows.withColumn("own", own).select("fp", "rep", "key", "bits", F.explode(F.coalesce(tiles, F.array(F.lit(0).cast("long")))).alias("tile"))
 
 
-def edges_of(bucketed: DataFrame, radius: int) -> DataFrame:
-    """(a, b): a spanning forest of the links of each bucket."""
+def edges_of(bucketed: DataFrame, radius: int, *, links: bool = False) -> DataFrame:
+    """(a, b): a spanning forest of the links of each bucket; `links`: made of links alone, else of stars."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch | None:
@@ -207,9 +222,12 @@ def edges_of(bucketed: DataFrame, radius: int) -> DataFrame:
             sizes = np.array([len(x[0]) for x in held])
             sizes = np.add.reduceat(sizes, np.array(begins))
             ends = np.repeat(np.cumsum(sizes), sizes)
-            label = forest(fp.view(np.uint64), radius, ends)
-            one = np.flatnonzero(label != np.arange(len(label)))
-            two = label[one]
+            if links:
+                one, two = spanning(fp.view(np.uint64), radius, ends)
+            else:
+                label = forest(fp.view(np.uint64), radius, ends)
+                one = np.flatnonzero(label != np.arange(len(label)))
+                two = label[one]
             return pa.RecordBatch.from_arrays([pa.array(rep[one]), pa.array(rep[two])], ["a", "b"]) if len(one) else None
 
         held: list[tuple[np.ndarray, ...]] = []
@@ -281,12 +299,12 @@ def keyed_rows(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) ->
 
 
 def similar_groups(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, often: int = 12, most: int = 200_000,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 4, often: int = 12, most: int = 200_000,
     scratch: Scratch | None = None, rows: DataFrame | None = None,
 ) -> DataFrame:
     """doc_id, k1, k2 (of id and text), component of each row of docs: groups of texts linked by Jaccard similarity of word shingles.
 
-    A component's name is the smallest key of its shingle sets. `often`: so often in the texts' sample a shingle is put
+    A component's name is the smallest key of its shingle sets. `radius`: of fingerprints whose link is verified. `often`: so often in the texts' sample a shingle is put
     last; at most `most` are. `rows`: keyed_rows of docs, if there already.
     """
     scratch = scratch or Scratch(docs.sparkSession)
@@ -302,8 +320,10 @@ def similar_groups(
     sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0).select(F.explode(distinct(F.col("text").cast("binary"))).alias("h"))
     common = sample.groupBy("h").count().where(F.col("count") >= often).orderBy(F.desc("count"), "h").limit(most)
     last = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.h for r in common.collect()], np.int64).view(np.uint64)))
+    del sample, common  # they hold shuffle files
+    forget_shuffles(docs.sparkSession)
 
-    @F.pandas_udf("key binary, n int, prefix array<long>, sketch binary")
+    @F.pandas_udf("key binary, n int, prefix array<long>, sketch binary, fp long")
     def described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         """`prefix`: places in the order, 63 bits of each hash below zero, those of common ones from zero up."""
         from xxhash import xxh128_digest
@@ -311,21 +331,36 @@ def similar_groups(
         late = np.append(last.value, np.uint64(2**64 - 1))
         for texts in batches:
             out = []
-            for t in texts:
-                own = np.unique(shingle_hashes(t, width))
-                place = (own >> np.uint64(1)).view(np.int64)
-                place = np.sort(np.where(late[np.searchsorted(late[:-1], own)] == own, place, place - 2**62 - 2**62))
-                prefix = place[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]
-                out.append((xxh128_digest(own.tobytes()), len(own), prefix, parity_sketch(own)))
-            yield pd.DataFrame(out, columns=["key", "n", "prefix", "sketch"])
+
+            def each(texts: pd.Series = texts, out: list = out) -> Iterator[np.ndarray]:
+                for t in texts:
+                    hashes = shingle_hashes(t, width)
+                    own = np.unique(hashes)
+                    place = (own >> np.uint64(1)).view(np.int64)
+                    place = np.sort(np.where(late[np.searchsorted(late[:-1], own)] == own, place, place - 2**62 - 2**62))
+                    prefix = place[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]
+                    out.append((xxh128_digest(own.tobytes()), len(own), prefix, parity_sketch(own)))
+                    yield hashes
+
+            fps = majorities(each()).view(np.int64)
+            yield pd.DataFrame(out, columns=["key", "n", "prefix", "sketch"]).assign(fp=fps)
 
     prints = rows.select("k1", "k2", "doc_id", described(F.col("text").cast("binary")).alias("_own")).select("k1", "k2", "doc_id", "_own.*")
-    prints = scratch.save(prints, "prints")
+    wide = prints = scratch.save(prints, "prints")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")
     nodes = prints.groupBy("key").agg(F.min(order).alias("o"))
     nodes = scratch.save(nodes.select("key", F.monotonically_increasing_id().alias("rep"), "o.k1", "o.k2"), "nodes")
-    sets = prints.drop("doc_id", "key").join(nodes.select("rep", "k1", "k2"), ["k1", "k2"]).dropDuplicates(["rep"])
-    sets = scratch.save(sets.select("rep", "n", F.size("prefix").alias("p"), "prefix", "sketch"), "sets")
+    sets = prints.drop("doc_id", "key").join(nodes.select("rep", "k1", "k2"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])  # as joined, so without another shuffle
+    sets = scratch.save(sets.select("rep", "n", F.size("prefix").alias("p"), "prefix", "sketch", "fp"), "sets")
+    prints = scratch.save(prints.select("doc_id", "k1", "k2", "key"), "keys")
+    scratch.drop(wide)
+    forget_shuffles(docs.sparkSession)
+    # links of the fingerprints: of equal ones to the first, of others a forest
+    firsts = scratch.save(sets.groupBy("fp").agg(F.min("rep").alias("rep")), "firsts")
+    equal = sets.select(F.col("rep").alias("a"), "fp").join(firsts.withColumnRenamed("rep", "b"), "fp").where("a <> b").select("a", "b")
+    within = edges_of(buckets(firsts, scheme(firsts.count(), radius), TILE_ROWS), radius, links=True)
+    alike = scratch.save(equal.union(within).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "alike")
+    forget_shuffles(docs.sparkSession)
     # centres are the smallest in three orders of the nodes; shingles put last may be in any number of sets, so theirs are
     # combined before the shuffle, and the join with them can be split
     placed = sets.select("rep", F.posexplode("prefix").alias("i", "h"))
@@ -336,7 +371,11 @@ def similar_groups(
     rare = rare.select("*", F.count(F.lit(1)).over(same).alias("reps"), *[x.over(same).alias(f"c{k}") for k, x in enumerate(lows)])
     many = placed.where("h >= 0").groupBy("h").agg(F.count(F.lit(1)).alias("reps"), *[x.alias(f"c{k}") for k, x in enumerate(lows)])
     many = placed.where("h >= 0").join(many, "h").select(*rare.columns)
-    index = scratch.save(rare.union(many).where("reps > 1").select("rep", "i", "h", centres), "index")
+    indexes = []
+    for part in (rare, many):  # one after the other, for their shuffles' disk
+        indexes.append(scratch.save(part.where("reps > 1").select("rep", "i", "h", centres), "index"))
+        forget_shuffles(docs.sparkSession)
+    index = indexes[0].union(indexes[1])
 
     @F.pandas_udf("double")
     def jaccard(one: pd.Series, two: pd.Series) -> pd.Series:
@@ -359,6 +398,7 @@ def similar_groups(
         pairs = found.join(texts.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
         links = scratch.save(pairs.where(jaccard("sa", "sb") >= similarity).select("a", "b"), "links")
         scratch.drop(texts)
+        forget_shuffles(docs.sparkSession)
         return links
 
     # a few centres of each node, those it shares much with: large groups become components by few comparisons
@@ -366,11 +406,13 @@ def similar_groups(
     near = near.join(sets.select("rep", "p"), "rep").where("count >= 0.3 * p")
     near = near.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("count", "c")), asc=False).alias("l"))
     near = near.select(F.col("rep").alias("a"), F.explode(F.slice("l", 1, 2)).alias("x")).select("a", F.col("x.c").alias("b"))
-    links = verified(scratch.save(near, "near"))
+    near = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = verified(scratch.save(alike.union(near).distinct(), "near"))
     parts = connected_components(links, scratch).withColumnRenamed("node", "rep")
     own = sets.select("rep", "n").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     labelled = scratch.save(index.select("rep", "i", "h").join(own, "rep"), "labelled")
-    scratch.drop(index)
+    for part in indexes:
+        scratch.drop(part)
     index = labelled
     mixed = index.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
     index = index.join(mixed, "h")

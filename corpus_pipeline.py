@@ -1,8 +1,8 @@
 """A training-corpus pipeline of five operators, each working on what the one before it kept.
 
 language ID (documents without a language, or unlike all of them, go), line dedup (lines shared by three documents or
-more stay in one), SimHash near-dedup (of documents with a Jaccard similarity of 0.8 or more over five-word shingles, one
-stays), benchmark decontamination (documents that hold a benchmark item go), packing into token sequences.
+more stay in one), SimHash near-dedup (links of fingerprints, each verified, and an exact pass for pairs beyond their reach:
+of documents with a Jaccard similarity of 0.8 or more over five-word shingles, one stays), benchmark decontamination (documents that hold a benchmark item go), packing into token sequences.
 """
 
 from __future__ import annotations

@@ -136,6 +136,40 @@ def test_every_similar_pair_of_dense_families_is_linked(spark):
         assert all(len(x) == 1 for x in groups.values()) and len(groups) == len(set(root)) > 8
 
 
+def test_near_dedup_takes_the_links_of_fingerprints(spark, monkeypatch):
+    """All sets with fingerprints within 4 bits are linked, by links within 4 bits alone, and verified: unlike texts stay."""
+    rnd, seen, save = random.Random(3), {}, simhash.Scratch.save
+    rows = []
+    for _ in range(12):
+        w = ["w%d" % rnd.randrange(10**6) for _ in range(300)]
+        rows.append(" ".join(w))
+        for _ in range(4):
+            w[rnd.randrange(300)] = "new%d" % rnd.randrange(10**6)
+            rows.append(" ".join(w))
+    rows += ["w%d w%d %s" % (rnd.randrange(10**6), rnd.randrange(10**6), "lol " * 600) for _ in range(3)]  # one fingerprint
+    rows = list(enumerate(rows))
+
+    def saved(self, df, name, **kw):
+        seen[name] = save(self, df, name, **kw)
+        return seen[name]
+
+    monkeypatch.setattr(simhash.Scratch, "save", saved)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    fp = simhash.majority([simhash.shingle_hashes(t.encode(), 5) for _, t in rows])
+    close = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4
+    own = {r.rep: np.uint64(r.fp % 2**64) for r in seen["sets"].collect()}
+    links = [(r.a, r.b) for r in seen["alike"].collect()]
+    assert all(np.bitwise_count(own[a] ^ own[b]) <= 4 for a, b in links)
+    joined, all_close = {r: r for r in own}, list(range(len(rows)))
+    for a, b in links:
+        joined = {r: joined[a] if x == joined[b] else x for r, x in joined.items()}
+    for i, j in np.argwhere(close):
+        all_close = [all_close[i] if x == all_close[j] else x for x in all_close]
+    assert len(set(joined.values())) == len(set(all_close)) < len(rows) - 20
+    assert kept == {*range(0, 60, 5), 60, 61, 62}
+
+
 def test_clashing_columns_pass_all_filtering_stages(spark, tmp_path):
     names = ["row", "k1", "k2", "_langid", "_kept", "_n_lines", "_print", "_keep_id", "print", "component", "key", "prefix", "rep", "gone", "lines", "_d", "_p", "h", "n"]
     rnd = random.Random(2)
