@@ -8,7 +8,6 @@ from pyspark.sql import Window as W
 
 from arrears.functions import patterns as P
 from arrears.functions.text import similarity
-from arrears.operators.score import rank_score
 
 
 def mean_gap(commit_files: DataFrame) -> DataFrame:
@@ -43,7 +42,7 @@ def open_at(instances: DataFrame, events: DataFrame, index: str = "index") -> Da
     return instances.join(first, "id", "left")
 
 
-def replay_hits(items: DataFrame, commit_files: DataFrame, events: DataFrame, *, window: int = 50, weights: tuple[float, ...] = P.RANK_WEIGHTS) -> DataFrame:
+def replay_hits(items: DataFrame, commit_files: DataFrame, events: DataFrame, *, window: int = 50, weights: tuple[float, ...] = P.RANK_WEIGHTS, blocks: int = 4) -> DataFrame:
     """For every commit that addresses items, the first rank of one of these in each of four orders of the items still open.
 
     items (project, id, place, file, chain, sir, effort; null chain: one of its own; null sir: 0; null effort: last by effort,
@@ -51,30 +50,130 @@ def replay_hits(items: DataFrame, commit_files: DataFrame, events: DataFrame, *,
     of an item counts, unknown items do not). Orders: recency (of the item's file, in the window before the commit), effort (least first), sir, full
     (the weighted sum with the recency over its maximum, and 1 for a file of the latest commit, 0.5 if the item's chain has
     one); without a commit before it, full is the order by sir. Ties go by place, then id. Result: project, index, strategy, first_rank.
-    Only event commits are ranked, by counting what stands before the best addressed item: one shuffle by commit, no sort.
+    Only event commits are ranked. A project's commits are cut into `blocks` stretches, each of which gets the items once, so that what
+    is shuffled and kept grows as the items and commits do; no row of an item and a commit is ever written.
     """
-    own = ["project", "index"]
-    items = items.withColumn("chain", F.coalesce(F.col("chain").cast("string"), F.concat(F.lit("/"), F.col("id").cast("string"))))
-    items = items.withColumns({"sir": F.coalesce("sir", F.lit(0.0)), "file": F.col("file").cast("string")})
-    done = events.groupBy("project", "id").agg(F.min("index").alias("done"))
-    at = done.join(items.select("project", "id"), ["project", "id"], "left_semi").select("project", F.col("done").alias("index")).distinct()
-    first = F.greatest(F.col("index") - window, F.lit(0))
-    seen = at.where("index > 0").select("*", F.explode(F.sequence(first, F.col("index") - 1)).alias("at")).join(
-        commit_files.select("project", F.col("index").alias("at"), F.col("file").cast("string").alias("file")).distinct(), ["project", "at"]
+    never = F.lit(2**63 - 1)
+    done = events.groupBy("project", "id").agg(F.min(F.col("index").cast("long")).alias("done"))
+    chain = F.coalesce(F.col("chain").cast("string"), F.concat(F.lit("/"), F.col("id").cast("string")))
+    rows = items.join(done, ["project", "id"], "left").select(
+        "project", "id", "place", F.col("file").cast("string").alias("file"), chain.alias("chain"), F.coalesce(F.col("sir").cast("double"), F.lit(0.0)).alias("sir"),
+        F.col("effort").cast("double").alias("effort"), F.coalesce("done", never).alias("done"),
     )
-    files = seen.groupBy(*own, "file").agg(F.sum(F.col("at") - first + 1).alias("steps"), F.max((F.col("at") == F.col("index") - 1).cast("int")).alias("latest"))
-    files = files.withColumn("most", F.max("steps").over(W.partitionBy(*own)))
-    chains = items.select("project", "file", "chain").distinct().join(files.where("latest = 1"), ["project", "file"]).select(*own, "chain", F.lit(1).alias("near")).distinct()
-    live = at.join(items.join(done, ["project", "id"], "left"), "project").where("done is null or done >= index")
-    live = live.join(files, [*own, "file"], "left").join(chains, [*own, "chain"], "left")
-    fix = F.when(F.col("latest") == 1, 1.0).when(F.col("near") == 1, 0.5).otherwise(0.0)
-    full = F.when(F.col("index") == 0, F.col("sir")).otherwise(rank_score(F.col("sir"), F.col("steps") / F.col("most"), F.col("effort"), fix, weights))
-    scores = {"recency": F.coalesce("steps", F.lit(0)).cast("double"), "effort": F.coalesce(-F.col("effort"), F.lit(float("-inf"))), "sir": F.col("sir"), "full": full}
-    behind = F.struct(*[F.struct((-score).alias("score"), F.col("place"), F.col("id")).alias(name) for name, score in scores.items()])
-    live = live.select(*own, (F.coalesce(F.col("done") == F.col("index"), F.lit(False))).alias("hit"), behind.alias("key"))
-    best = {f"best_{name}": F.min(F.when(F.col("hit"), F.col(f"key.{name}"))).over(W.partitionBy(*own)) for name in scores}
-    ranks = live.withColumns(best).groupBy(*own).agg(*[(F.sum((F.col(f"key.{name}") < F.col(f"best_{name}")).cast("long")) + 1).alias(name) for name in scores])
-    return ranks.unpivot(own, list(scores), "strategy", "first_rank")
+    known = done.join(items.select("project", "id"), ["project", "id"], "left_semi")
+    ends = known.groupBy("project").agg((F.max("done") + 1).alias("_n")).where("_n is not null")
+    block = lambda c: F.least(F.floor(c * blocks / F.col("_n")), F.lit(blocks - 1)).cast("int")
+    rows = rows.join(ends, "project").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    at = F.col("index").cast("long")
+    touched = commit_files.select("project", at.alias("at"), F.col("file").cast("string").alias("file")).join(ends, "project").where("at < _n - 1")
+    touched = touched.select("*", F.explode(F.sequence(block(F.col("at") + 1), block(F.least(F.col("at") + window, F.col("_n") - 1)))).alias("_b"))
+    names = ("recency", "effort", "sir", "full")
+    project, index = (items.schema["project"].dataType.simpleString(), events.schema["index"].dataType.simpleString())
+
+    def ranked(key, own, commits):
+        return first_ranks(key[0], own[(own.done * blocks // own["_n"]).clip(upper=blocks - 1) == key[1]].done.unique() if len(own) else [], own, commits, window, weights, names)
+
+    rows = rows.groupBy("project", "_b").cogroup(touched.select("project", "_b", "at", "file").groupBy("project", "_b"))
+    ranks = rows.applyInPandas(ranked, f"project {project}, index {index}, " + ", ".join(f"{n} long" for n in names))
+    return ranks.unpivot(["project", "index"], list(names), "strategy", "first_rank")
+
+
+def first_ranks(project, indexes, items, commits, window: int, weights: tuple[float, ...], names: tuple[str, ...]):
+    """The ranks of replay_hits at some commits of one project, from all its items and the commits that lie in their windows."""
+    import numpy as np
+    import pandas as pd
+
+    wa, wb, wc, wd = weights
+    items = items.sort_values(["place", "id"], na_position="first", kind="stable")
+    n, done, out = len(items), items.done.to_numpy(), []
+    files, named = pd.factorize(pd.concat([items.file, commits.file], ignore_index=True))
+    nf = len(named)
+    file, touched = np.where(files[:n] < 0, nf, files[:n]), np.where(files[n:] < 0, nf + 1, files[n:])  # a null file is no item's
+    chain, chains = pd.factorize(items.chain)
+    pairs = np.unique(file.astype(np.int64) * (len(chains) + 1) + chain)
+    pair_file, pair_chain = pairs // (len(chains) + 1), pairs % (len(chains) + 1)
+    pair_at = np.searchsorted(pair_file, np.arange(nf + 3))
+    seen = np.unique(commits["at"].to_numpy().astype(np.int64) * (nf + 2) + touched)
+    seen_at, seen_file = seen // (nf + 2), seen % (nf + 2)
+    sir, effort = items.sir.to_numpy(), items.effort.to_numpy(dtype=float, na_value=np.nan)
+    lacks = items.effort.isna().to_numpy()
+    orders = {"effort": np.where(lacks, np.inf, effort), "sir": -sir}
+    place = {}  # of each item in the orders that do not change
+    for name, key in orders.items():
+        place[name] = np.empty(n, np.int64)
+        place[name][np.lexsort((np.arange(n), key))] = np.arange(n)
+    by_file = np.argsort(file, kind="stable")
+    start = np.searchsorted(file[by_file], np.arange(nf + 3))
+    in_file = np.empty(n, np.int64)
+    in_file[by_file] = np.arange(n)
+    base, rest = wa * sir, wc * (1 - np.where(lacks, 0.0, effort))
+    by_done = np.argsort(done, kind="stable")
+    indexes = np.sort(np.asarray(indexes, dtype=np.int64))
+    indexes = indexes[indexes < 2**63 - 1]
+    if not len(indexes):
+        return pd.DataFrame([], columns=["project", "index", *names], dtype=object)
+    first, last = np.searchsorted(done[by_done], indexes), np.searchsorted(done[by_done], indexes, side="right")
+    is_open = done >= indexes[0]
+    opened = {name: np.empty(n, bool) for name in place}
+    for name, p in place.items():
+        opened[name][p] = is_open
+    open_file = is_open[by_file]
+    many = np.bincount(file[is_open], minlength=nf + 2)
+    gain, near, closed, live = np.zeros(nf + 2), np.zeros(len(chains) + 1), 0, None
+    for i, lo, hi in zip(indexes.tolist(), first, last, strict=True):
+        hit = by_done[lo:hi]
+        got = {name: int(np.count_nonzero(opened[name][: place[name][hit].min()])) + 1 for name in place}
+        begin = max(i - window, 0)
+        a, z = np.searchsorted(seen_at, (begin, i))
+        used, inverse = np.unique(seen_file[a:z], return_inverse=True)
+        steps = np.bincount(inverse, weights=seen_at[a:z] - begin + 1, minlength=len(used))
+        own = np.zeros(len(hit))
+        if len(used):
+            k = np.minimum(np.searchsorted(used, file[hit]), len(used) - 1)
+            own = np.where(used[k] == file[hit], steps[k], 0.0)
+        top = own.max()
+        best = hit[own == top].min()
+        before = lambda f: int(np.count_nonzero(open_file[start[f] : start[f] + np.searchsorted(by_file[start[f] : start[f + 1]], best)]))  # noqa: B023, E731
+        ahead = int(many[used[steps > top]].sum())
+        if top > 0:
+            ahead += sum(before(f) for f in used[steps == top])
+        else:
+            ahead += int(np.count_nonzero(is_open[:best])) - sum(before(f) for f in used)
+        got["recency"] = ahead + 1
+        if i == 0:
+            got["full"] = got["sir"]
+        else:
+            if live is None or closed * 8 > len(live):
+                live, closed = by_file[open_file], 0
+                live_base, live_rest, live_file, live_chain, alive = base[live], rest[live], file[live], chain[live], np.ones(len(live), bool)
+                live_start, live_at = np.searchsorted(live_file, np.arange(nf + 3)), np.full(n, -1)
+                live_at[live] = np.arange(len(live))
+            latest = seen_file[np.searchsorted(seen_at, i - 1) : z]
+            gain[used] = wb * (steps / steps.max()) if len(used) else 0.0
+            close = np.concatenate([pair_chain[pair_at[f] : pair_at[f + 1]] for f in latest]) if len(latest) else np.empty(0, np.int64)
+            near[close] = wd * 0.5
+            fix = near[live_chain]
+            for f in latest:
+                fix[live_start[f] : live_start[f + 1]] = wd * 1.0
+            score = gain[live_file]
+            score += live_base  # the sum in the order of rank_score
+            score += live_rest
+            score += fix
+            gain[used], near[close] = 0.0, 0.0
+            score[np.isnan(score)] = -np.inf
+            mine = score[live_at[hit]]
+            top = mine.max()
+            best = hit[mine == top].min()
+            ties = live[(score == top) & alive]
+            got["full"] = int(np.count_nonzero((score > top) & alive)) + int(np.count_nonzero(ties < best)) + 1
+        out.append((project, i, *[got[x] for x in names]))
+        is_open[hit], open_file[in_file[hit]] = False, False
+        for name, p in place.items():
+            opened[name][p[hit]] = False
+        many -= np.bincount(file[hit], minlength=nf + 2)
+        if live is not None:
+            alive[live_at[hit]], closed = False, closed + len(hit)
+    return pd.DataFrame(out, columns=["project", "index", *names]).astype({"project": object})
 
 
 def co_removal_control(items: DataFrame, events: DataFrame, by: str = "project", days: int = 30) -> DataFrame:

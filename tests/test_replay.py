@@ -57,6 +57,18 @@ def test_hits(spark, window):
     assert {(r.project, r["index"], r.strategy): r.first_rank for r in got} == looped(items, commits, events, window)
 
 
+def test_hits_form_no_rows_of_items_and_commits(spark):
+    """A project of n items, each addressed by a commit of its own: rows shuffled grow with n, not with its square."""
+    n = 400
+    items = spark.range(n).selectExpr("'p' as project", "id", "id as place", "concat('f', id % 7) as file", "concat('c', id % 5) as chain", "id % 11 / 16 as sir", "id % 13 / 16 as effort")
+    got = replay.replay_hits(items, spark.range(n).selectExpr("'p' as project", "id as index", "concat('f', id % 7) as file"), spark.range(n).selectExpr("'p' as project", "id", "id as index"))
+    assert got.count() == 4 * n
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan
+    joined = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in joined.splitlines() if "Join" in line and "done#" in line and ">=" in line]
+
+
 def test_hits_of_nothing(spark):
     none = [spark.createDataFrame([], s) for s in (ITEMS, "project string, index long, file string", "project string, id long, index long")]
     assert replay.replay_hits(*none).count() == 0
