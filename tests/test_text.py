@@ -77,3 +77,13 @@ def test_judge(spark):
     assert judge.with_retries(lambda _: 1 / 0, "x") == (None, "other")
     v = one(spark, judge.local(F.col("t")), t="TODO: quick fix")
     assert v.is_satd and v.confidence > 0.8 and judge.scorer() is judge.local
+
+
+def test_best_similarity_compares_distinct_texts(spark):
+    from arrears.operators import joins
+
+    rows = [("g", 1, "abc"), ("g", 2, "abc"), ("g", 3, "abd"), ("g", 4, ""), ("m", 5, None), ("m", 15, "z"), ("h", 6, "x"), ("h", 6, "y"), ("i", 7, "kit"), ("i", 8, "kat"), ("i", 7, "kat"), (None, 9, "a"), (None, 10, "a"), ("j", 11, None), ("j", 12, None)]
+    df = spark.createDataFrame(rows, "g string, id long, t string")
+    a, b = df.select("g", "id", "t"), df.select(F.col("g").alias("h"), F.col("id").alias("k"), F.col("t").alias("o"))
+    want = a.join(b, (F.col("g") == F.col("h")) & (F.col("id") != F.col("k"))).groupBy("id").agg(F.max(X.similarity(F.col("t"), F.col("o"))).alias("best"))
+    assert {tuple(r) for r in joins.best_similarity(df, ["g"], "id", "t").collect()} == {tuple(r) for r in want.collect()}
