@@ -205,6 +205,33 @@ def co_removal(pairs: DataFrame, events: DataFrame, days: float = 30.0) -> DataF
     return both.groupBy("grp").agg(F.count(F.lit(1)).alias("pairs"), F.sum(near).alias("removed")).withColumn("rate", F.col("removed") / F.col("pairs"))
 
 
+def co_removal_band(items: DataFrame, events: DataFrame, by: str, keys: list[str], at: str, width: int, days: int = 30) -> DataFrame:
+    """co_removal over the pairs of items of one group and equal keys that are at most `width` apart, counted without forming pairs.
+
+    items (by, keys, id, at), `at` an integer; events (id, day), the first one counts. Two rows of one id are no pair. Each item
+    goes to the places up to `width` from its own; at its own place it meets all that are near, so that every pair counts twice.
+    """
+    first = events.groupBy("id").agg(F.min("day").alias("day"))
+    own = [by, *keys]
+    rows = items.select(*own, "id", F.col(at).cast("long").alias("_at")).where(" and ".join(f"{c} is not null" for c in [*own, "id", "_at"])).join(first, "id", "left")
+
+    def counted(rows: DataFrame, own: list[str]) -> DataFrame:
+        daily = rows.groupBy(*own, "_at", "day").agg(F.count(F.lit(1)).alias("_c"))
+        daily = daily.select("*", F.explode(F.sequence(F.col("_at") - width, F.col("_at") + width)).alias("_to"))
+        daily = daily.groupBy(*own, "_to", "day").agg(F.sum("_c").alias("_c"), F.sum(F.when(F.col("_at") == F.col("_to"), F.col("_c")).otherwise(0)).alias("_own"))
+        near = F.sum("_c").over(W.partitionBy(*own, "_to").orderBy("day").rangeBetween(-days, days))
+        met = daily.withColumn("_near", F.when(F.col("day").isNotNull(), F.col("_own") * near).otherwise(0))
+        met = met.groupBy(*own, "_to").agg(F.sum("_c").alias("_all"), F.sum("_own").alias("_own"), F.sum("_near").alias("_near"))
+        return met.groupBy(by).agg(F.sum(F.col("_own") * F.col("_all")).alias("pairs"), F.sum("_near").alias("removed"))
+
+    total = counted(rows, own)  # each row with itself too, as in the rows of one id
+    twice = rows.join(rows.groupBy(*own, "id").count().where("count > 1").select(*own, "id"), [*own, "id"], "left_semi")
+    single = rows.join(twice.select(*own, "id").distinct(), [*own, "id"], "left_anti").groupBy(by).agg(F.count(F.lit(1)).alias("pairs"), F.count("day").alias("removed"))
+    same = single.unionByName(counted(twice, [*own, "id"])).groupBy(by).agg(F.sum("pairs").alias("_pairs"), F.sum("removed").alias("_removed"))
+    out = total.join(same, by).select(by, F.expr("(pairs - _pairs) div 2").alias("pairs"), F.expr("(removed - _removed) div 2").alias("removed"))
+    return out.where("pairs > 0").withColumn("rate", F.col("removed") / F.col("pairs"))
+
+
 def lead_time(ranked: DataFrame, events: DataFrame, *, top: int = 5, lead: int = 5) -> DataFrame:
     """Per item the first index in the top, the index it was addressed at, and whether the lead is long enough."""
     first = ranked.where(F.col("rank") <= top).groupBy("id").agg(F.min("index").alias("seen"))

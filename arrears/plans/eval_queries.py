@@ -66,10 +66,9 @@ def hit_at_k_mrr(spark, d):
 
 def co_removal(spark, d):
     part = table(spark, d, "part").select("p_partkey", "p_type", "p_size", "p_brand")
-    pairs = joins.pairs_within(part.withColumn("k", F.concat_ws("/", "p_brand", "p_type")), "k", "p_partkey", "p_size", 1)
-    pairs = pairs.select(F.col("a_p_type").alias("grp"), F.col("a_p_partkey").alias("a"), F.col("b_p_partkey").alias("b"))
+    items = part.select(F.col("p_type").alias("grp"), "p_brand", F.col("p_partkey").alias("id"), F.col("p_size").alias("at"))
     events = table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.datediff("l_shipdate", F.lit("1990-01-01").cast("date")).alias("day"))
-    return replay.co_removal(pairs, events).select("grp", "pairs", F.col("removed").cast("long").alias("removed"), F.round("rate", 6).alias("rate"))
+    return replay.co_removal_band(items, events, "grp", ["p_brand"], "at", 1).select("grp", "pairs", F.col("removed").cast("long").alias("removed"), F.round("rate", 6).alias("rate"))
 
 
 def totals_rollup(spark, d):

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from arrears.operators import replay
 
@@ -87,3 +88,18 @@ def test_control_counts_all_pairs_of_different_chains(spark):
         n, m = (sum(a[0] == r.project for a, _ in x) for x in (pairs, near))
         assert (r.pairs, r.removed, r.rate) == (n, m, m / n if n else 0.0)
     assert {r.project for r in got} == {"p", "q", "r"}
+
+
+def test_co_removal_by_counts_equals_that_over_pairs(spark):
+    """Also with two rows of one id and with nulls; no self-join of the items."""
+    from arrears.operators import joins
+
+    rng = random.Random(11)
+    items = [(rng.choice("pq"), rng.choice("xy"), rng.randrange(50), rng.randrange(6)) for _ in range(120)] + [(None, "x", 60, 1), ("p", None, 61, 1), ("p", "x", None, 1), ("p", "x", 62, None), ("r", "x", 70, 1), ("r", "x", 70, 2)]
+    items = spark.createDataFrame(items, "grp string, brand string, id long, at int")
+    events = spark.createDataFrame([(i, rng.randrange(90)) for i in range(0, 50, 2) for _ in range(2)], "id long, day int")
+    pairs = joins.pairs_within(items.where("brand is not null").withColumn("k", F.concat_ws("/", "grp", "brand")).where("grp is not null"), "k", "id", "at", 1)
+    want = replay.co_removal(pairs.select(F.col("a_grp").alias("grp"), F.col("a_id").alias("a"), F.col("b_id").alias("b")), events)
+    got = replay.co_removal_band(items, events, "grp", ["brand"], "at", 1)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} != set()
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("abs(") == 0
