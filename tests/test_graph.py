@@ -93,3 +93,30 @@ def test_band_sums_equal_those_over_pairs(spark):
     df = spark.createDataFrame(rows, "k string, o long, at int")
     want = joins.pairs_within(df, "k", "o", "at", 2).groupBy(F.col("a_k").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("b_o") - F.col("a_o")).alias("s"))
     assert {tuple(r) for r in joins.band_sums(df, "k", "o", "at", 2).collect()} == {tuple(r) for r in want.collect()} != set()
+
+
+@pytest.mark.parametrize("width", [0, 3])
+def test_greedy_match_across_spans_takes_few_groups(spark, width):
+    """Rows far apart share a task's call; stretches over the end of a span stay whole."""
+    rng = random.Random(width)
+    spots = lambda: [("pq"[i % 2], rng.choice([rng.randrange(60), 4096 * (width + 1) + rng.randrange(-20, 20), 10**6 + rng.randrange(30)]), i) for i in range(150)]
+    found, truth = spots(), spots()
+    want, used = set(), set()
+    for k, at, n in found:
+        m = next((m for q, other, m in truth if q == k and abs(at - other) <= width and (k, m) not in used), None)
+        if m is not None:
+            used.add((k, m))
+            want.add((k, n, m))
+    ddl = "file string, line int, n long"
+    got = joins.greedy_match(spark.createDataFrame(found, ddl), spark.createDataFrame(truth, ddl), "file", "line", "n", width)
+    assert {tuple(r) for r in got.collect()} == want
+    windows = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x]
+    assert windows and not [x for x in windows if " at#" in x]
+
+
+def test_neighbours_read_edges_once(spark):
+    rows = [(1, 2), (2, 1), (1, 2), (3, 3), (2, 4)]
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    got = graph.neighbours(edges)
+    assert sorted(map(tuple, got.collect())) == sorted({x for a, b in rows for x in ((a, b), (b, a))})
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
