@@ -112,3 +112,17 @@ def test_count_window_equals_batch(spark, tmp_path):
     stream.run_available(stream.count_window(src, size=5), lambda df, n: got.extend(df.collect()), str(tmp_path / "ck"))
     assert len(got) == 40 and {r["index"] for r in got} == set(range(1, 21))
     assert all(r.in_window == min(5, r["index"]) for r in got)
+
+
+def test_a_stream_of_halves_is_written_by_many_tasks(spark):
+    from arrears.operators.components import Scratch
+    from arrears.plans import stage_queries
+
+    rows = spark.range(0, 400, numPartitions=4).selectExpr("id", "cast(id as double) as n").repartition(4)
+    scratch = Scratch(spark)
+    stream, seen = stage_queries._stream(spark, rows, rows.drop("n").schema, scratch), []
+    query = stream.writeStream.foreachBatch(lambda df, n: seen.append((df.select(F.input_file_name()).distinct().count(), sorted(r.id for r in df.collect())))).option("checkpointLocation", scratch.path("state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    batches = [ids for _, ids in seen]
+    assert len(batches) == 2 and sum(batches, []) == list(range(400))
+    assert abs(len(batches[0]) - 200) <= 8 and all(files > 1 for files, _ in seen)
