@@ -87,3 +87,10 @@ def test_best_similarity_compares_distinct_texts(spark):
     a, b = df.select("g", "id", "t"), df.select(F.col("g").alias("h"), F.col("id").alias("k"), F.col("t").alias("o"))
     want = a.join(b, (F.col("g") == F.col("h")) & (F.col("id") != F.col("k"))).groupBy("id").agg(F.max(X.similarity(F.col("t"), F.col("o"))).alias("best"))
     assert {tuple(r) for r in joins.best_similarity(df, ["g"], "id", "t").collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_patterns_fail_at_once_where_none_starts(spark):
+    assert X.alternation(["TODO", "@x"]).startswith("(?i)(?=[@T])") and X.starts(["a?b"], literal=False) == X.starts(["a|b"], literal=False) == X.starts([".x"]) == X.starts([""]) == ""
+    for text, want in {"a todo": True, "todos": False, "@x": False, "a@x": True, "": False}.items():
+        assert one(spark, F.col("t").rlike(X.alternation(["TODO", "@x"])), t=text) == want
+    assert one(spark, F.col("t").rlike(X.alternation(["x?y"], literal=False)), t="y") and one(spark, X.contains_any(F.col("t"), ["Not Working", "zz"]), t="is not working")
